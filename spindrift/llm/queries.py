@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, mixing, quality_rules, simhash, token_counts
+from spindrift.llm import bpe, mixing, quality_rules, simhash, suffix_array, suffix_trees, token_counts
 from spindrift.llm.sql import ORACLES
 
 
@@ -21,6 +21,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_trees.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,6 +37,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__quality.{x}").alias(x) for x in names])
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_array.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -44,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_mix_sources, op4_simhash, op5_quality_rules, op9_byte_bpe, op10_token_counts]
+    own = [op2_mix_sources, op3_suffix_trees, op4_simhash, op5_quality_rules, op7_suffix_array, op9_byte_bpe, op10_token_counts]
     return {f.__name__: f for f in own}
 
 

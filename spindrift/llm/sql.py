@@ -68,6 +68,16 @@ judged AS (
 """
 
 ORACLES = {
+    "op3_suffix_trees": rf"""WITH split AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS words FROM documents),
+tokens AS (SELECT rid, doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM split),
+windows AS (
+  SELECT rid, doc_id, pos, w, CASE WHEN lead(w, 12) OVER o IS NOT NULL THEN
+    w || ' ' || {" || ' ' || ".join(f"lead(w, {k}) OVER o" for k in range(1, 13))} END AS win
+  FROM tokens WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+starts AS (SELECT rid, pos, w, (win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id)::INT AS hit FROM windows),
+covered AS (SELECT rid, pos, w, max(hit) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM starts),
+kept AS (SELECT rid, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(w, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '') AS kept FROM covered GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (rid)""",
     "op2_mix_sources": f"""WITH docs AS (SELECT doc_id, text, source FROM documents), {MIX.rstrip().rstrip(",")}
 SELECT doc_id, size::BIGINT AS size, source_size, target, CASE WHEN size > 0 THEN (whole + CASE WHEN extra THEN 1 ELSE 0 END) * size ELSE 0 END::BIGINT AS taken FROM mixed""",
     "op5_quality_rules": f"""WITH docs AS (SELECT doc_id, text FROM documents), {RULES.rstrip().rstrip(",")}
