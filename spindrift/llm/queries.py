@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, mixing, quality_rules, simhash, suffix_array, suffix_trees, token_counts
+from spindrift.llm import bpe, lattice, mixing, quality_rules, simhash, site_bayes, suffix_array, suffix_trees, token_counts, tool_calls
 from spindrift.llm.sql import ORACLES
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(tool_calls.as_tool_messages(table(spark, sf_dir, "conversations")))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -37,11 +41,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__quality.{x}").alias(x) for x in names])
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_array.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,10 +65,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_mix_sources, op3_suffix_trees, op4_simhash, op5_quality_rules, op7_suffix_array, op9_byte_bpe, op10_token_counts]
+    own = [
+        op1_tool_calls, op2_mix_sources, op3_suffix_trees, op4_simhash, op5_quality_rules, op6_lattice,
+        op7_suffix_array, op8_site_bayes, op9_byte_bpe, op10_token_counts, pipeline,
+    ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in queries()}
+    return dict(ORACLES)

@@ -94,8 +94,11 @@ def _block(table: pa.Table, length: int) -> tuple[int, Bytes]:
     return table.column("block")[0].as_py(), Bytes(table.column("text").to_pylist(), length)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, v: int = V, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """row (all columns but the text), kept (the remaining bytes), spans (maximal removed runs, [from, to)), n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, v: int = V, cover: tuple[int, ...] = COVER, as_text: bool = False) -> DataFrame:
+    """row (all columns but the text), kept (the remaining bytes), spans (maximal removed runs, [from, to)), n_bytes, n_removed, n_spans, kept_sha256.
+
+    as_text: kept is a string, without what a cut leaves of a character.
+    """
     if length < v or {(a - b) % v for a in cover for b in cover} != set(range(v)):
         raise ValueError("the residues must cover all differences, and the length their modulus")
     spark = docs.sparkSession
@@ -112,7 +115,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         block, own = _block(table, length)
         return send_keys(block, _second(own, heard, parts, v, cover)[1], parts, NAME_WIDTH)
 
-    fields = [T.StructField("row", blocks.schema["row"].dataType), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
+    fields = [T.StructField("row", blocks.schema["row"].dataType), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
     fields += [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
 
     def cut(table: pa.Table, heard: pa.Table) -> pa.Table:
@@ -134,7 +137,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.table(
             {
                 "row": table.column("row"),
-                "kept": pa.array(kept, pa.binary()),
+                "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
                 "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 "n_bytes": pa.array(n, pa.int64()),
                 "n_removed": pa.array([a - len(b) for a, b in zip(n, kept, strict=True)], pa.int64()),
