@@ -1,0 +1 @@
+"""Record linkage at scale on Spark DataFrames: blocking, retrieval, pair features, decisions and their checks."""

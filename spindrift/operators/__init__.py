@@ -1,0 +1 @@
+"""DataFrame operators: keys, candidate joins, retrieval channels, features, decisions, metrics."""

@@ -1,0 +1 @@
+"""Incremental runs of the batch operators: new records against a stored index."""
