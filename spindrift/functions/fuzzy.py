@@ -56,16 +56,29 @@ def partial(a: str, b: str) -> float:
     return max(best, _partial(b, a)) if len(a) == len(b) and best < 100 else best
 
 
+def _prefixes(a: str, b: str) -> list[int]:
+    """Longest common subsequences of a with every prefix of b, in one pass."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row, out = full, []
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = (row + hit | row - hit) & full
+        out.append(len(a) - row.bit_count())
+    return out
+
+
 def _partial(a: str, b: str) -> float:
-    n, letters, best = len(a), set(a), 0.0
-    windows = [(0, k) for k in range(1, n)] + [(k, k + n) for k in range(len(b) - n + 1)] + [(k, len(b)) for k in range(len(b) - n + 1, len(b))]
-    for i, j in windows:
-        # A window whose edge letter is foreign to the shorter string is never best.
-        if b[j - 1 if i == 0 or j < len(b) else i] not in letters or 200.0 * min(n, j - i) / (n + j - i) <= best:
-            continue
-        best = max(best, ratio(a, b[i:j]))
-        if best == 100.0:
-            break
+    n, letters = len(a), set(a)
+    best = max((200.0 * x / (n + k) for side in ((a, b), (a[::-1], b[::-1])) for k, x in enumerate(_prefixes(side[0], side[1][: n - 1]), 1)), default=0.0)
+    for k in range(len(b) - n + 1):
+        # A window whose last letter is foreign to the shorter string is never better than its neighbour.
+        if b[k + n - 1] in letters or k == len(b) - n:
+            best = max(best, ratio(a, b[k : k + n]))
+            if best == 100.0:
+                break
     return best
 
 
