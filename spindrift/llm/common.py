@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +41,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete shuffle files of frames that nothing refers to any more.
+
+    Twice: the first collection drops the plans, the second the shuffles that they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def let(value: Column, body) -> Column:
