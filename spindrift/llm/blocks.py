@@ -10,16 +10,19 @@ lost task, run again, sends the same.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import input_bytes
+from spindrift.llm.common import input_bytes, scratch_root
 
 BLOCK_BYTES = 3 << 20
 PART_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
+MOST_BUCKETS = 100_000
 #: Null ids sort last.
 LAST = (1 << 63) - 1
 
@@ -28,7 +31,11 @@ ANSWER = "block int, round int, part int, bits binary"
 
 
 def into_blocks(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
-    """block, id, text (as bytes) and row (a struct of all columns but the text); and the number of parts for their keys."""
+    """block, id, text (as bytes) and row (a struct of all columns but the text); and the number of parts for their keys.
+
+    The blocks are written once as a table bucketed by block, in the folder that driver and executors share. Every pass
+    over them, and every join of answers to them, then finds its rows together: texts are shuffled once, not in each pass.
+    """
     size = input_bytes(docs, text)
     n = max(1, math.ceil(size / BLOCK_BYTES))
     parts = 1 << max(1, math.ceil(math.log2(max(1, size / PART_BYTES))))
@@ -39,7 +46,13 @@ def into_blocks(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
         F.struct(*rest).alias("row"),
     )
-    return blocks, parts
+    spark, name = docs.sparkSession, f"spindrift_{uuid.uuid4().hex}"
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES)))
+    writer = blocks.repartition(buckets, "block").write.format("parquet").bucketBy(buckets, "block")
+    writer.option("path", f"{scratch_root(spark)}/spindrift/{name}").saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the frame keeps the files of an external table
+    return stored, parts
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
