@@ -1 +1 @@
-"""Incremental runs of the batch operators: new records against a stored index."""
+"""No operator here: all workloads of this engine are batches over stored tables."""
