@@ -56,7 +56,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """df without its text and with the fingerprint of it."""
+    """df without its text and with the fingerprint of it; a column of the same name is replaced."""
+    df = df.drop(*[c for c in (out,) if c != text])
     bound_batches(df.sparkSession)
     at = df.columns.index(text)
     rest = [f for f in df.schema.fields if f.name != text]

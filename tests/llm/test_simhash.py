@@ -83,3 +83,12 @@ def test_components_of_a_path(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 99), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 41)}, 100: 99, 101: 99}
+
+
+def test_scratch_can_be_cleared(spark):
+    from spindrift.llm.common import clear_scratch, materialize
+
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3
+    clear_scratch(spark)
+    assert materialize(spark.range(2)).count() == 2

@@ -71,6 +71,9 @@ def test_frames(spark, library):
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back)
     counts = {r.doc_id: (r.n_bytes, r.over_limit) for r in token_counts.token_counts(docs, P.path("byte_bpe_50k.json"), limit=100).collect()}
     assert counts[0] == (0, False) and counts[len(ODD)] == (0, False) and counts[12] == (5000, True)
+    clash = docs.withColumn("n_tokens", docs.text).withColumn("over_limit", docs.doc_id)
+    assert [r.n_tokens for r in bpe.round_trip(clash, RANKS, P.PATTERN).orderBy("doc_id").collect()] == [got[i].n_tokens for i in range(len(rows))]
+    assert token_counts.token_counts(clash, P.path("byte_bpe_50k.json")).columns == ["doc_id", "text", "n_chars", "n_bytes", "n_tokens", "over_limit"]
     empty = docs.limit(0)
     assert bpe.round_trip(empty, RANKS, P.PATTERN).count() == 0
     assert token_counts.token_counts(empty, P.path("byte_bpe_50k.json")).count() == 0
