@@ -85,18 +85,17 @@ def with_metrics(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(hashes, F.when(F.size(words) >= WINDOW, window))
     n = F.size(words).cast("long")
     bare = lambda w: F.lower(F.btrim(w, F.lit(".,;:!?()\"'")))
-    df = df.withColumn(
-        out,
-        F.struct(
-            n.alias("n_words"),
-            F.length(F.regexp_replace(body, WHITE, "")).cast("long").alias("word_chars"),
-            (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            F.size(lines).cast("long").alias("n_lines"),
-            _repeat_words(F.col(hashes)).alias("n_repeat_words"),
-            F.size(F.filter(F.col(words), lambda w: bare(w).isin(stop))).cast("long").alias("n_stop_words"),
-        ),
-    ).drop(words, hashes)
+    metrics = F.struct(
+        n.alias("n_words"),
+        F.length(F.regexp_replace(body, WHITE, "")).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        _repeat_words(F.col(hashes)).alias("n_repeat_words"),
+        F.size(F.filter(F.col(words), lambda w: bare(w).isin(stop))).cast("long").alias("n_stop_words"),
+    )
+    # A generator of one row: no filter on what follows is pushed through it, which would copy all of the above into itself.
+    df = df.withColumn(out, F.explode(F.array(metrics))).drop(words, hashes)
     of = lambda part, whole: F.floor(F.col(f"{out}.{part}") * 1000 / F.greatest(F.col(f"{out}.{whole}"), F.lit(1))).cast("long")
     return df.withColumn(
         out,
