@@ -32,7 +32,7 @@ def latest(records: DataFrame, order: str) -> DataFrame:
     return records.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
-def read_id_lists(spark: SparkSession, path: str, key: str = "s1_id", member: str = "cand_id") -> DataFrame:
+def read_id_lists(spark: SparkSession, path: str, key: str = "s1_id") -> DataFrame:
     """(key, ids) of a two-column file whose second column is a comma list, which may be empty."""
     df = _tsv(spark, path, f"{key} string, ids string")
     ids = F.coalesce("ids", F.lit(""))
