@@ -35,7 +35,9 @@ from spindrift.llm.simhash import join_labels
 COSINE = 0.98
 #: The distance that a table must bridge, in units of the lattice with least distance sqrt(2). Larger: smaller cells, more visits.
 REACH = 0.3
-CELL = 1024
+CELL = 512
+#: Rows of one Python call, which works through many small cells.
+GROUP = 20_000
 SLACK = 4e-3
 
 
@@ -130,15 +132,22 @@ def _cells(cosine: float, reach: float):
 CELLS = "t int, cell long, k long, home boolean, coords binary"
 
 
-def _pairs(group: pa.Table, close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tasks(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The group in the order of its tasks, and where each begins, with the end."""
+    keys = [group.column(c).to_numpy() for c in ("j", "i", "cell", "t")]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return group.take(pa.array(order)), np.concatenate([[0], np.flatnonzero(new), [len(order)]])
+
+
+def _pairs(home: np.ndarray, b: np.ndarray, i: int, j: int, close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows to look at in one task, in slices: not both visitors, and across the task's two blocks if these differ."""
-    home, b = group.column("home").to_numpy(zero_copy_only=False), group.column("b").to_numpy()
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     left, right = (np.flatnonzero(b == i), np.flatnonzero(b == j)) if i != j else (np.arange(len(b)),) * 2
     for at in range(0, len(left), 512):
         rows = left[at : at + 512]
-        hit = close(rows, right) & (home[rows][:, None] | home[right][None, :])
-        x, y = np.nonzero(hit)
+        x, y = np.nonzero(close(rows, right) & (home[rows][:, None] | home[right][None, :]))
         x, y = rows[x], right[y]
         once = x < y if i == j else np.ones(len(x), bool)
         yield x[once], y[once]
@@ -146,38 +155,46 @@ def _pairs(group: pa.Table, close) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _active(group: pa.Table) -> pa.Table:
     """The members with a partner that is close in this table."""
+    group, edges = _tasks(group)
     coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.float32).reshape(-1, 8)
     square = (coords**2).sum(axis=1)
+    home, b, i, j = group.column("home").to_numpy(), *(group.column(c).to_numpy() for c in "bij")
     marked = np.zeros(len(coords), bool)
-    limit = np.float32((1 + SLACK) ** 2)
-    for x, y in _pairs(group, lambda a, b: square[a][:, None] + square[b][None, :] - 2 * (coords[a] @ coords[b].T) <= limit + np.float32(1e-5) * (square[a][:, None] + square[b][None, :])):
-        marked[x] = marked[y] = True
-    return group.filter(pa.array(marked)).drop_columns(["coords"])
+    limit, slack = np.float32((1 + SLACK) ** 2), np.float32(1 - 1e-5)
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        c, q = coords[s:e], square[s:e] * slack
+        for x, y in _pairs(home[s:e], b[s:e], i[s], j[s], lambda r, o, c=c, q=q: q[r][:, None] + q[o][None, :] - 2 * (c[r] @ c[o].T) <= limit):
+            marked[s + x] = marked[s + y] = True
+    return group.filter(pa.array(marked)).drop_columns(["coords", "g"])
 
 
 def _verified(cosine: float):
-    def run(group: pa.Table) -> pa.Table:
-        keys, label, weight = group.column("k").to_numpy(), group.column("label").to_numpy(), group.column("weight").to_numpy()
-        lengths = np.diff(group.column("embedding").combine_chunks().offsets.to_numpy())
-        if len(np.unique(lengths)) > 1:  # two keys of cells have clashed
-            parts = [run(group.filter(pa.array(lengths == n))) for n in np.unique(lengths).tolist()]
-            return pa.concat_tables(parts)
+    def same_length(group: pa.Table) -> pa.Table:
+        group, edges = _tasks(group)
+        keys, label, weight = (group.column(c).to_numpy() for c in ("k", "label", "weight"))
+        home, b, i, j, t = group.column("home").to_numpy(), *(group.column(c).to_numpy() for c in "bijt")
         vectors = _matrix(group.column("embedding"))
-        norm = np.linalg.norm(vectors, axis=1)
-        blocks = turned(vectors)
-        t = group.column("t")[0].as_py()
+        norm, blocks = np.linalg.norm(vectors, axis=1), turned(vectors)
         near = (2 - 2 * cosine) / blocks.shape[1] * (1 + 1e-9)
-        links, root = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for x, y in _pairs(group, lambda a, b: (vectors[a] @ vectors[b].T) / (norm[a][:, None] * norm[b][None, :]) >= cosine - 1e-9):
-            exact = np.einsum("ij,ij->i", vectors[x], vectors[y]) / (norm[x] * norm[y]) >= cosine
-            x, y = x[exact & (label[x] == label[y])], y[exact & (label[x] == label[y])]
-            first = (((blocks[x] - blocks[y]) ** 2).sum(axis=2) <= near).argmax(axis=1) == t
-            x, y = x[first], y[first]
-            np.add.at(links, x, weight[y])
-            np.add.at(links, y, weight[x])
-            join_labels(root, x, y)
+        links, to = np.zeros(len(keys), np.int64), keys.copy()
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            v, n, root = vectors[s:e], norm[s:e], np.arange(e - s)
+            for x, y in _pairs(home[s:e], b[s:e], i[s], j[s], lambda r, o, v=v, n=n: (v[r] @ v[o].T) / (n[r][:, None] * n[o][None, :]) >= cosine - 1e-9):
+                exact = np.einsum("ij,ij->i", v[x], v[y]) / (n[x] * n[y]) >= cosine
+                exact &= label[s + x] == label[s + y]
+                x, y = x[exact], y[exact]
+                first = (((blocks[s + x] - blocks[s + y]) ** 2).sum(axis=2) <= near).argmax(axis=1) == t[s]
+                x, y = x[first], y[first]
+                np.add.at(links, s + x, weight[s + y])
+                np.add.at(links, s + y, weight[s + x])
+                join_labels(root, x, y)
+            to[s:e] = keys[s:e][root]
         some = links > 0
-        return pa.table({"k": pa.array(keys[some]), "links": pa.array(links[some]), "to": pa.array(keys[root[some]])})
+        return pa.table({"k": pa.array(keys[some]), "links": pa.array(links[some]), "to": pa.array(to[some])})
+
+    def run(group: pa.Table) -> pa.Table:
+        lengths = np.diff(group.column("embedding").combine_chunks().offsets.to_numpy())
+        return pa.concat_tables([same_length(group.filter(pa.array(lengths == n))) for n in np.unique(lengths).tolist()])
 
     return run
 
@@ -200,9 +217,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
     b = F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")
     dealt = cells.join(busy, ["t", "cell"]).withColumn("b", b).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("t", "cell", "k", "home", "coords", "b", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"))
-    task = ["t", "cell", "i", "j"]
-    active = materialize(dealt.groupBy(*task).applyInArrow(_active, "t int, cell long, k long, home boolean, b int, i int, j int"))
-    found = active.join(classes.select("k", "label", "weight", "embedding"), "k").groupBy(*task).applyInArrow(_verified(cosine), "k long, links long, to long")
+    # Tasks are packed into groups by hash: a Python call costs more than a small cell.
+    packed = lambda df, groups: df.withColumn("g", F.pmod(F.xxhash64("t", "cell", "i", "j"), F.lit(groups)).cast("int"))
+    groups = lambda df: max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // GROUP)
+    dealt = packed(dealt, groups(cells))
+    active = materialize(dealt.groupBy("g").applyInArrow(_active, "t int, cell long, k long, home boolean, b int, i int, j int"))
+    found = packed(active, groups(active)).join(classes.select("k", "label", "weight", "embedding"), "k").groupBy("g").applyInArrow(_verified(cosine), "k long, links long, to long")
     found = materialize(found)
     counts = materialize(found.groupBy("k").agg(F.sum("links").alias("links")))
     roots = connected_components(found.select(F.col("k").alias("a"), F.col("to").alias("b")))
