@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, mixing, quality_rules, simhash, suffix_array
+from spindrift.llm import bpe, mixing, quality_rules, shingle_links, suffix_array
 from spindrift.llm.common import materialize
 
 
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the least id (null ids last), then the least content hash."""
-    found = materialize(simhash.near_duplicates(docs))
+    """One document of each component of five-word similarity 0.8: the one with the least id (null ids last), then the least content hash."""
+    found = materialize(shingle_links.components(docs))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("content").alias("content"))
     chosen = found.groupBy("root").agg(F.min(rank).alias("one")).select(F.col("one.id").alias("keep_id"), F.col("one.content").alias("keep_content"))
     own = docs.withColumn("__content", F.xxhash64("text"))
