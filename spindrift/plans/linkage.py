@@ -182,7 +182,7 @@ def fuzzy_features(r: Run) -> DataFrame:
 
 @query
 def pair_features(r: Run) -> DataFrame:
-    return _rounded(features.pair_features(r.union().where("n_channels > 1"), r.forms))
+    return _rounded(features.pair_features(r.union(), r.forms))
 
 
 @query
