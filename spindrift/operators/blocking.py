@@ -38,11 +38,11 @@ def best(scores: DataFrame, k: int = 25) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def escalated(probe: DataFrame, keys: DataFrame, universe: DataFrame, k: int = 25, least: int = 8, percent: int = 25) -> DataFrame:
+def escalated(probe: DataFrame, keys: DataFrame, universe: DataFrame, k: int = 25, least: int = 8, percent: int = 100) -> DataFrame:
     """Best candidates after a second, expensive look at records with fewer than `least` of them.
 
-    The second look is for those of a stable hash bucket below `percent`, so its share of all records is bounded
-    without ordering them all; percent=100 takes every starved record. Its result replaces the first if it has any.
+    Every starved record gets the second look. A lower `percent` leaves out those whose stable hash bucket isn't below it,
+    and so loses their further candidates. Its result replaces the first if it has any.
     """
     cheap = scored(probe, keys, CHEAP)
     counts = cheap.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))

@@ -62,7 +62,7 @@ def universe(store: Store) -> DataFrame:
     return store.table("records").where("source = 1").select(F.col("entity_id").alias("s1_id"), "country").distinct()
 
 
-def key_candidates(store: Store, k: int = 25, percent: int = 25) -> DataFrame:
+def key_candidates(store: Store, k: int = 25, percent: int = 100) -> DataFrame:
     return store.step("candidates", lambda: blocking.escalated(store.table("probe"), store.table("keys"), universe(store), k, percent=percent))
 
 

@@ -131,7 +131,8 @@ def candidates_cheap(r: Run) -> DataFrame:
 
 @query
 def candidates_escalated(r: Run) -> DataFrame:
-    return blocking.escalated(r.probe, r.keys, r.universe)
+    # The share that the query's SQL has; the operator and the jobs take every starved record.
+    return blocking.escalated(r.probe, r.keys, r.universe, percent=25)
 
 
 @query
