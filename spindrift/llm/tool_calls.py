@@ -3,7 +3,8 @@
 A message that holds calls is a JSON object {"tool_calls": [{"id", "name", "arguments", "after"}]}; one that holds a
 result is {"tool_call_id", "content"}. `after` names the call whose result a call builds on, if any, so calls form a
 forest; depths in it come from pointer doubling, in as many joins as the logarithm of the longest chain, and
-(depth, turn, pos) sorts every call behind what it builds on. No conversation is gathered in one task.
+(depth, turn, pos) sorts every call behind what it builds on. An `after` that lists several calls isn't followed: the call
+is a root and not valid, with an error that says so. No conversation is gathered in one task.
 
 Identifiers are those of a conversation. Of several calls or results with one identifier the least by (turn, pos, content)
 counts, `copies` tells how many calls there were. Status: linked, no_result, no_call (a result without a call), cycle
@@ -73,8 +74,13 @@ def read_events(conv: str | None, turn: int | None, text: str | None, schemas: d
             if isinstance(arguments, str):  # many writers put the arguments' JSON in a string
                 parsed = _loads(arguments)
                 arguments = arguments if parsed is None else parsed
-            after = call.get("after") if isinstance(call.get("after"), str) else None
-            yield conv, turn, pos, "call", call["id"], name, after, canonical(arguments), check_arguments(name, arguments, schemas)
+            after, wrong = call.get("after"), check_arguments(name, arguments, schemas)
+            if isinstance(after, list):  # one call is followed, several aren't
+                named = sorted({x for x in after if isinstance(x, str)})
+                wrong += ["after names several calls"] * (len(named) > 1)
+                after = named[0] if len(named) == 1 else None
+            after = after if isinstance(after, str) else None
+            yield conv, turn, pos, "call", call["id"], name, after, canonical(arguments), wrong
     if isinstance(message.get("tool_call_id"), str):
         yield conv, turn, 0, "result", message["tool_call_id"], None, None, canonical(message.get("content")), []
 
