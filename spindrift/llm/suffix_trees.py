@@ -2,9 +2,9 @@
 
 Suffixes are sequences of words, and a repeat is a path of WINDOW words in their tree that suffixes of two documents
 share. The tree is cut by prefixes of variable length: a prefix with too large a share of a bounded sample of suffixes
-is split by its next word, until every group fits in memory; small prefixes are packed together. Each group is sorted,
-which with the common prefix lengths of neighbours is its suffix tree, and the internal nodes of WINDOW words and
-deeper are the repeats. On an edge a word is a symbol of 8 bits; a deep node is then told apart by the 64-bit
+is split by its next word, until every group fits in memory; small prefixes are packed together. Each group is sorted
+and its tree cut at WINDOW words: suffixes end there, and neighbours that agree that far hang below one deep node. This
+amounts to grouping fingerprints of windows; deeper nodes and maximal repeats are not made. On an edge a word is a symbol of 8 bits; a deep node is then told apart by the 64-bit
 fingerprint of the whole path, so symbols that clash cost time, not results.
 
 Before that, suffixes that can't reach a deep node are pruned: of the seven-word starts within a window the one with the
