@@ -24,8 +24,6 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spindrift.llm.common import bound_batches
-
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 CACHE = 400_000
@@ -103,7 +101,6 @@ def codec(path: str, pattern: str) -> Codec:
 def _over_text(df: DataFrame, column: str, fields: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
     """df with columns made from one column, batch by batch; columns of the same names are replaced."""
     df = df.drop(*[name for name, _, _ in fields if name != column])
-    bound_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind, _ in fields]])
     at = df.columns.index(column)
 

@@ -2,10 +2,11 @@
 
 Suffixes are sequences of words, and a repeat is a path of WINDOW words in their tree that suffixes of two documents
 share. The tree is cut by prefixes of variable length: a prefix with too large a share of a bounded sample of suffixes
-is split by its next word, until every group fits in memory; small prefixes are packed together. Each group is sorted
-and its tree cut at WINDOW words: suffixes end there, and neighbours that agree that far hang below one deep node. This
-amounts to grouping fingerprints of windows; deeper nodes and maximal repeats are not made. On an edge a word is a symbol of 8 bits; a deep node is then told apart by the 64-bit
-fingerprint of the whole path, so symbols that clash cost time, not results.
+is split by its next word, until every group fits in memory; small prefixes are packed together. Suffixes travel to their
+group as real words, by numbers into a list of words that comes with each packet. A group sorts them by word, takes the
+common-prefix lengths of neighbours, and so has the internal nodes of its subtree; those as deep as a window are the
+repeats, and each knows the least id below it. Words decide, never fingerprints. As no window looks further, suffixes end
+at WINDOW words, and the repeats longer than that are the spans that the windows of a document make together.
 
 Before that, suffixes that can't reach a deep node are pruned: of the seven-word starts within a window the one with the
 least hash is its anchor, equal windows have equal anchors, and an anchor met in one document only ends there.
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.blocks import ANSWER, SENT, Rolling, answered, answers, from_planes, into_blocks, met_elsewhere, mix64, planes, send_keys, sizes_by_part, _table
-from spindrift.llm.common import bound_batches, materialize, release
+from spindrift.llm.blocks import ANSWER, SENT, Rolling, answered, answers, from_planes, into_blocks, met_elsewhere, mix64, pack, planes, send_keys, sent, sizes_by_part, sliding_least, unpack
+from spindrift.llm.common import materialize
 
 WINDOW = 13
 ANCHOR = 7
@@ -62,18 +63,19 @@ def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 class Words:
-    """The texts of one block as one array of word hashes."""
+    """The texts of one block as one array of words: numbers into `names`, the block's different words, and hashes."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes]):
         self.ids, self.texts = ids, texts
-        joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        white = (joined == 32) | ((joined >= 9) & (joined <= 13))
-        edge = np.flatnonzero(np.diff(white.view(np.int8), prepend=1))
-        starts, ends = edge[0::2], edge[1::2]
-        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        self.first = np.searchsorted(starts, begin)  # the first word of each document, and the end
-        self.hash = word_hashes(joined, starts, ends)
+        split = [t.split() for t in texts]
+        seen: dict[bytes, int] = {}
+        self.word = np.array([seen.setdefault(w, len(seen)) for words in split for w in words], np.int64)
+        self.names = list(seen)
+        self.first = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)  # the first word of each document, and the end
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        ends = np.cumsum([len(w) for w in self.names], dtype=np.int64)
+        hashes = word_hashes(np.frombuffer(b"".join(self.names), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+        self.hash = hashes[self.word]
         self.sums = ROLL.sums(self.hash)
 
     def starts(self, length: int) -> np.ndarray:
@@ -81,6 +83,10 @@ class Words:
         n = max(0, len(self.hash) - length + 1)
         return self.doc[:n] == self.doc[length - 1 : length - 1 + n]
 
+    def rows(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The words of the stretches of `length` words at some starts."""
+        return self.word[at[:, None] + np.arange(length)]
+
     def paths(self, at: np.ndarray, length: int) -> np.ndarray:
         """Fingerprints of the stretches of `length` words at some starts."""
         return ROLL.stretch(self.sums, at, length)
@@ -92,21 +98,13 @@ class Words:
             return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
         width = window - gram + 1
         hashes = ROLL.stretch(self.sums, slice(0, n + width - 1), gram)
-        least = self.least(hashes, width)
+        least = sliding_least(hashes, width)
         valid = self.starts(window)
         chosen = np.zeros(len(hashes), bool)
         for k in range(width):
             chosen[k : k + n] |= valid & (hashes[k : k + n] == least)
         return hashes, chosen, np.where(valid, least, NONE)
 
-    @staticmethod
-    def least(hashes: np.ndarray, width: int) -> np.ndarray:
-        n = len(hashes) - width + 1
-        out = hashes[:n].copy()
-        for k in range(1, width):
-            np.minimum(out, hashes[k : k + n], out=out)
-        return out
-
     def distinct(self, keys: np.ndarray, at: np.ndarray):
         """Distinct keys, where each of `keys` is among them, the least and the largest id of each."""
         ids = self.ids[self.doc[at]]
@@ -150,18 +148,26 @@ class Prefixes:
         return (mix64(key) % np.uint64(self.parts)).astype(np.int64)
 
 
-def deep_nodes(symbols: np.ndarray, paths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The subtree of some suffixes, as their order and the edges in it between nodes at `depth`.
+def sorted_suffixes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some suffixes, given as rows of word numbers, and the common-prefix length of each with the one before."""
+    order = np.lexsort(words.T[::-1]) if len(words) else np.zeros(0, np.int64)
+    same = words[order][1:] == words[order][:-1]
+    return order, np.concatenate([[0], np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1))]).astype(np.int64)[: len(order)]
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
+    """Where, in sorted order, the leaves of each node of at least `depth` words begin; a leaf that shares less is a node of its own."""
+    return np.flatnonzero(common < depth)
 
-    Neighbours in the order with a common prefix of `depth` symbols hang below one deep node, which the path's
-    fingerprint splits if symbols clashed.
-    """
-    full = np.zeros((len(symbols), 16), np.uint8)
-    full[:, : symbols.shape[1]] = symbols
-    both = full.view(">u8").astype(np.uint64)
-    order = np.lexsort((paths, both[:, 1], both[:, 0]))
-    apart = np.any(full[order][1:, :depth] != full[order][:-1, :depth], axis=1) | (paths[order][1:] != paths[order][:-1])
-    return order, np.concatenate([[0], np.flatnonzero(apart) + 1]) if len(order) else np.zeros(0, np.int64)
+
+def least_below(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each suffix the least id below its deep node."""
+    order, common = sorted_suffixes(words)
+    begin = deep_nodes(common, words.shape[1])
+    out = np.zeros(len(ids), np.int64)
+    if len(order):
+        out[order] = np.repeat(np.minimum.reduceat(ids[order], begin), np.diff(np.append(begin, len(order))))
+    return out
 
 
 def _symbols(own: Words, at: np.ndarray, window: int) -> np.ndarray:
@@ -176,26 +182,49 @@ def _first(own: Words, window: int, gram: int):
 
 
 def _second(own: Words, heard: pa.Table, parts: int, window: int, gram: int):
-    """Windows that may repeat; their distinct paths with least ids."""
+    """Windows that may repeat; for each its number among the different ones; a start and the least id of those."""
     hashes, at, least, names, where, twice = _first(own, window, gram)
     repeated = (answered(heard, 1, sizes_by_part(names, parts)) | twice)[where]
     alive = np.full(len(hashes), NONE)
     alive[at[repeated]] = hashes[at[repeated]]
-    starts = np.flatnonzero((own.least(alive, window - gram + 1) == least) & (least != NONE)) if len(hashes) else np.zeros(0, np.int64)
-    names, where, low, _ = own.distinct(own.paths(starts, window), starts)
-    return starts, names, where, low
-
-
-def _paths(own: Words, starts: np.ndarray, where: np.ndarray, n: int, window: int) -> np.ndarray:
-    """The symbols of each distinct path."""
-    one = np.zeros(n, np.int64)
-    one[where] = starts
-    return _symbols(own, one, window)
+    starts = np.flatnonzero((sliding_least(alive, window - gram + 1) == least) & (least != NONE)) if len(hashes) else np.zeros(0, np.int64)
+    _, one, where = np.unique(own.paths(starts, window), return_index=True, return_inverse=True)
+    one = starts[one]
+    if any((own.word[starts + k] != own.word[one[where] + k]).any() for k in range(window)):  # a clash: by words, then
+        _, one, where = np.unique(own.rows(starts, window), axis=0, return_index=True, return_inverse=True)
+        one, where = starts[one], where.ravel()
+    low = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(low, where, own.ids[own.doc[starts]])
+    return starts, where, one, low
+
+
+def _packet(own: Words, one: np.ndarray, low: np.ndarray, window: int) -> bytes:
+    """Suffixes of `window` words as bytes: the words they have, their numbers, their ids."""
+    used, numbers = np.unique(own.rows(one, window), return_inverse=True)
+    names = [own.names[k] for k in used.tolist()]
+    columns = np.ascontiguousarray(numbers.reshape(-1, window).T)
+    return pack(np.array([len(w) for w in names], "<u4").tobytes(), b"".join(names), columns.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), planes(low, 8))
+
+
+def _suffixes(packets: list[bytes], sizes: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of some packets as rows of numbers that sort as their words do, and their ids."""
+    seen: dict[bytes, int] = {}
+    rows, low = [], []
+    for data, n in zip(packets, sizes, strict=True):
+        lengths, words, numbers, ids = unpack(data)
+        ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64).tolist()
+        mine = np.array([seen.setdefault(words[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int32)
+        numbers = np.frombuffer(numbers, "<u2" if len(mine) <= 1 << 16 else "<u4").reshape(window, n)
+        rows.append(mine[numbers].T)
+        low.append(from_planes(ids, n, 8).view(np.int64))
+    place = np.empty(len(seen), np.int32)
+    names = list(seen)
+    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    return place[np.concatenate(rows)], np.concatenate(low)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = ANCHOR) -> DataFrame:
     """row (all columns but the text), kept (remaining words, joined by a space), spans (maximal runs of removed words, [from, to)), n_words, n_removed, kept_sha256."""
-    spark = docs.sparkSession
     blocks, parts = into_blocks(docs, id_col, text)
     slim = blocks.select("block", "id", "text")
     prefixes = Prefixes(_sample(docs, id_col, text, window), parts)
@@ -208,42 +237,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def suffixes(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _table([])
+            return sent([])
         own, block = load(table), table.column("block")[0].as_py()
-        starts, names, where, low = _second(own, heard, parts, window, gram)
-        symbols = _paths(own, starts, where, len(names), window)
-        part = prefixes.part(symbols)
+        _, _, one, low = _second(own, heard, parts, window, gram)
+        part = prefixes.part(_symbols(own, one, window))
         order = np.argsort(part, kind="stable")
         found, begin = np.unique(part[order], return_index=True)
-        rows = []
-        for p, mine in zip(found.tolist(), np.split(order, begin[1:]) if len(found) else [], strict=True):
-            data = np.ascontiguousarray(symbols[mine].T).tobytes() + planes(names[mine], 8) + planes(low[mine], 8)
-            rows.append((p, block, len(mine), data))
-        return _table(rows)
-
-    def subtrees(sent: pa.Table) -> pa.Table:
-        sizes = sent.column("n").to_numpy()
-        symbols, paths, low = [], [], []
-        for data, n in zip(sent.column("data").to_pylist(), sizes.tolist(), strict=True):
-            symbols.append(np.frombuffer(data, np.uint8, n * window).reshape(window, n).T)
-            paths.append(from_planes(data[n * window : n * (window + 8)], n, 8))
-            low.append(from_planes(data[n * (window + 8) :], n, 8).view(np.int64))
-        symbols, paths, low = np.concatenate(symbols), np.concatenate(paths), np.concatenate(low)
-        order, begin = deep_nodes(symbols, paths, window)
-        least = np.repeat(np.minimum.reduceat(low[order], begin), np.diff(np.append(begin, len(order))))
-        flags = np.zeros(len(order), bool)
-        flags[order] = least < low[order]
-        return answers(sent.column("block").to_pylist(), 2, sent.column("part")[0].as_py(), sizes, flags)
+        groups = zip(found.tolist(), np.split(order, begin[1:]) if len(found) else [], strict=True)
+        return sent([(p, block, len(mine), _packet(own, one[mine], low[mine], window)) for p, mine in groups])
+
+    def subtrees(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        words, low = _suffixes(table.column("data").to_pylist(), sizes, window)
+        return answers(table.column("block").to_pylist(), 2, table.column("part")[0].as_py(), np.array(sizes), least_below(words, low) < low)
 
     fields = [T.StructField("row", blocks.schema["row"].dataType), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
     fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def cut(table: pa.Table, heard: pa.Table) -> pa.Table:
         own = load(table)
-        starts, names, where, low = _second(own, heard, parts, window, gram)
-        part = prefixes.part(_paths(own, starts, where, len(names), window))
-        smaller = np.zeros(len(names), bool)
-        # Bits come by part, and within a part in the order of the paths' fingerprints.
+        starts, where, one, low = _second(own, heard, parts, window, gram)
+        part = prefixes.part(_symbols(own, one, window))
+        smaller = np.zeros(len(one), bool)
+        # Bits come by part, and within a part in the order in which the different windows went.
         smaller[np.argsort(part, kind="stable")] = answered(heard, 2, dict(enumerate(np.bincount(part, minlength=parts).tolist())))
         hit = starts[smaller[where] | (low[where] < own.ids[own.doc[starts]])]
         marks = np.zeros(len(own.hash) + 1, np.int32)
@@ -269,16 +285,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         )
 
     first = materialize(slim.groupBy("block").applyInArrow(anchors, SENT).groupBy("part").applyInArrow(met_elsewhere(1, ANCHOR_WIDTH), ANSWER))
-    release(spark)
-    sent = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(suffixes, SENT)
-    second = materialize(sent.groupBy("part").applyInArrow(subtrees, ANSWER))
-    release(spark)
+    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(suffixes, SENT)
+    second = materialize(second.groupBy("part").applyInArrow(subtrees, ANSWER))
     return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(cut, T.StructType(fields))
 
 
 def _sample(docs: DataFrame, id_col: str, text: str, window: int) -> np.ndarray:
     """Symbols of a bounded sample of suffixes."""
-    bound_batches(docs.sparkSession)
     every = max(1, docs.count() // SAMPLE_DOCS)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(every)) == 0).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 

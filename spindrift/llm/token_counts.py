@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spindrift.llm.common import bound_batches
 
 CACHE = 500_000
 LONG = 64
@@ -106,7 +105,6 @@ def counter(path: str) -> Counter:
 def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """df and n_bytes, n_tokens, over_limit; columns of the same names are replaced."""
     df = df.drop("n_bytes", "n_tokens", "over_limit")
-    bound_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     at = df.columns.index(text)
 

@@ -99,6 +99,44 @@ def test_suffix_trees(spark, small_blocks, window, gram):
     assert suffix_trees.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_clashing_names_remove_nothing(spark):
+    """Two texts of equal names but different bytes, by the Thue-Morse sequence, which any such polynomial takes for its complement."""
+    signs = [k.bit_count() % 2 for k in range(1024)]
+    a, b = ("".join("xy"[s ^ flip] for s in signs) + "z" * 400 for flip in (0, 1))
+    own = suffix_array.Bytes([a.encode(), b.encode()], 1424)
+    names = suffix_array.ROLL.stretch(own.sums, np.array([0, 1424]), 1424)
+    assert a != b and names[0] == names[1]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a + "!")], "doc_id long, text string")
+    got = {r.row.doc_id: r.n_removed for r in suffix_array.remove_repeats(docs, length=1424).collect()}
+    assert got == {1: 1424, 2: 0, 3: 1424}
+
+
+def test_suffix_order_and_repeated_windows():
+    rnd = random.Random(1)
+    for _ in range(200):
+        text = np.array(rnd.choices(range(1, rnd.randint(3, 6)), k=rnd.randint(0, 60)), np.int64)
+        assert suffix_array.suffix_order(text).tolist() == sorted(range(len(text)), key=lambda k: text[k:].tolist())
+    for _ in range(200):
+        length = rnd.choice([1, 2, 5, 9, 12])
+        base = [bytes(rnd.choices(b"ab\0", k=rnd.randint(length, 40))) for _ in range(3)]
+        passages = list({rnd.choice(base) + bytes(rnd.choices(b"abc", k=rnd.randint(0, 8))) for _ in range(rnd.randint(1, 8))})
+        twice = np.array([rnd.random() < 0.1 for _ in passages])
+        seen = Counter(p[i : i + length] for p, t in zip(passages, twice, strict=True) for i in range(len(p) - length + 1) for _ in range(1 + t))
+        want = [[seen[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in passages]
+        assert [f.tolist() for f in suffix_array.repeated_windows(passages, twice, length)] == want
+
+
+def test_packets_of_a_block_are_bounded_and_equal_rows_are_spread(spark):
+    for size in (10**9, 10**11, 10**13, 10**14):
+        n, parts = blocks.layout(size)
+        keys = size / n * len(suffix_array.COVER) / suffix_array.V
+        assert min(parts, keys) * 20 <= keys  # never near one key a packet
+    docs = spark.range(100_000).selectExpr("7L AS doc_id", "repeat('equal ', 20) AS text")
+    stored, _ = blocks.into_blocks(docs, "doc_id", "text")
+    rows = [r["count"] for r in stored.groupBy("block").count().collect()]
+    assert len(rows) > 2 and max(rows) < 60_000
+
+
 def test_prefixes_split_and_agree():
     rng = np.random.default_rng(1)
     symbols = rng.integers(0, 4, (4000, 13)).astype(np.uint8)
@@ -116,3 +154,18 @@ def test_word_hashes():
     starts = np.concatenate([[0], ends[:-1] + 1])
     got = suffix_trees.word_hashes(text, starts, ends)
     assert got[:10].tolist() == got[10:].tolist() and len(set(got.tolist())) == 10
+
+
+def test_deep_nodes_of_a_subtree():
+    rnd = random.Random(3)
+    words = np.array([rnd.choices(range(3), k=4) for _ in range(300)])
+    ids = np.array(rnd.sample(range(1000), 300))
+    order, common = suffix_trees.sorted_suffixes(words)
+    rows = [tuple(r) for r in words[order].tolist()]
+    assert rows == sorted(rows)
+    assert common[1:].tolist() == [next((k for k in range(4) if a[k] != b[k]), 4) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+    want = {r: min(i for i, w in zip(ids.tolist(), words.tolist(), strict=True) if w == list(r)) for r in set(rows)}
+    assert suffix_trees.least_below(words, ids).tolist() == [want[tuple(w)] for w in words.tolist()]
+    shallow = suffix_trees.deep_nodes(common, 2)
+    assert len(shallow) == len({r[:2] for r in rows})
+    assert len(suffix_trees.least_below(words[:0], ids[:0])) == 0
