@@ -157,9 +157,11 @@ def sizes_by_part(keys: np.ndarray, parts: int) -> dict[int, int]:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = x ^ (x >> np.uint64(33))
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -201,6 +203,5 @@ class Rolling:
 
     def stretch(self, sums: np.ndarray, at: np.ndarray | slice, length: int) -> np.ndarray:
         """Fingerprints of the stretches of a length that begin at `at`."""
-        if isinstance(at, slice):
-            at = np.arange(at.start, at.stop)
-        return mix64((sums[at + length] - sums[at]) * self.down[at] + np.uint64(length))
+        behind = slice(at.start + length, at.stop + length) if isinstance(at, slice) else at + length
+        return mix64((sums[behind] - sums[at]) * self.down[at] + np.uint64(length))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spindrift.llm.blocks import ANSWER, SENT, Rolling, answer, answered, into_blocks, met_elsewhere, pack, part_of, send_keys, sent, sizes_by_part, sliding_least, unpack
+from spindrift.llm.blocks import ANSWER, SENT, Rolling, answer, answered, into_blocks, met_elsewhere, mix64, pack, part_of, send_keys, sent, sizes_by_part, sliding_least, unpack
 from spindrift.llm.common import discard, materialize
 
 LENGTH = 400
@@ -97,7 +97,7 @@ class Bytes:
         pieces = -(-count // PASSAGE)
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = starts[first].repeat(pieces) + step * PASSAGE
-        return begin, np.minimum(count.repeat(pieces) - step * PASSAGE, PASSAGE), least[first].repeat(pieces)
+        return begin, np.minimum(count.repeat(pieces) - step * PASSAGE, PASSAGE), mix64(least[first]).repeat(pieces)
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
         """Which bytes the windows at `starts` cover."""
@@ -235,7 +235,7 @@ def _groups(anchors: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         if total[k - 1] - last >= GROUP_BYTES:
             cuts.append(k)
             last = total[k - 1]
-    return np.split(order, cuts)
+    return np.split(order, cuts) if len(order) else []
 
 
 def _judge(length: int):
@@ -263,9 +263,13 @@ def _judge(length: int):
                 mine.append(k)
             told.append(mine)
         passages = list(seen)
-        flags: list[np.ndarray] = [np.zeros(0, bool)] * len(passages)
-        for group in _groups(np.array(anchors, np.uint64), np.array([len(p) for p in passages], np.int64)):
-            for k, f in zip(group.tolist(), repeated_windows([passages[k] for k in group.tolist()], np.array(twice)[group], length), strict=True):
+        flags = [np.ones(len(p) - length + 1, bool) for p in passages]
+        # Where all passages of an anchor are there twice, nothing is left to ask.
+        names, double = np.array(anchors, np.uint64), np.array(twice, bool)
+        asked = np.flatnonzero(np.isin(names, names[~double]))
+        for group in _groups(names[asked], np.array([len(passages[k]) for k in asked.tolist()], np.int64)):
+            mine = asked[group]
+            for k, f in zip(mine.tolist(), repeated_windows([passages[k] for k in mine.tolist()], double[mine], length), strict=True):
                 flags[k] = f
         return answer([(b, 3, part, np.packbits(np.concatenate([flags[k] for k in mine])).tobytes()) for b, mine in zip(blocks, told, strict=True)])
 

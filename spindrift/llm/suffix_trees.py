@@ -1,17 +1,18 @@
 """Removal of repeated word sequences through prefix-partitioned suffix trees.
 
 Suffixes are sequences of words, and a repeat is a path of WINDOW words in their tree that suffixes of two documents
-share. The tree is cut by prefixes of variable length: a prefix with too large a share of a bounded sample of suffixes
-is split by its next word, until every group fits in memory; small prefixes are packed together. Suffixes travel to their
-group as real words, by numbers into a list of words that comes with each packet. A group sorts them by word, takes the
+share. Of the GRAM-word starts within a window the one with the least hash is its anchor, and equal windows have equal
+anchors, so the tree is cut by prefixes of the suffixes that begin at anchors: prefixes of variable length, where one
+with too large a share of a bounded sample is split by its next word, until every group fits in memory; small ones
+are packed together. Neighbouring windows of one anchor travel to its group as one passage of real words, numbers
+into a list of words that comes with each packet. The group sorts all suffixes of its passages by word, takes the
 common-prefix lengths of neighbours, and so has the internal nodes of its subtree; those as deep as a window are the
 repeats, and each knows the least id below it. Words decide, never fingerprints. As no window looks further, suffixes end
 at WINDOW words, and the repeats longer than that are the spans that the windows of a document make together.
 
-Before that, suffixes that can't reach a deep node are pruned: of the seven-word starts within a window the one with the
-least hash is its anchor, equal windows have equal anchors, and an anchor met in one document only ends there.
-A block sends each distinct path once with the least id it has for it, so a passage that a third of all documents share
-costs one entry a block, and gets one bit back: whether a smaller id lies elsewhere.
+Before that, anchors that only one document has are pruned by their hashes, with the windows that need them. A block sends
+each different passage once with the least id it has for it, so a passage that a third of all documents share costs one
+entry a block, and gets one bit a window back: whether a smaller id lies elsewhere.
 
 A word is removed if a window over it also starts in a document with a smaller id; windows are judged on the input.
 Null texts have no words. Null ids count as larger than any other. Rows that repeat an id don't remove each other.
@@ -105,6 +106,15 @@ class Words:
             chosen[k : k + n] |= valid & (hashes[k : k + n] == least)
         return hashes, chosen, np.where(valid, least, NONE)
 
+    def passages(self, starts: np.ndarray, hashes: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows as passages, each of neighbours with one anchor: the first window, how many there are, the anchor."""
+        anchor = np.full(len(starts), -1)
+        for k in range(width):
+            hit = (anchor < 0) & (hashes[starts + k] == least[starts]) if len(starts) else anchor < 0
+            anchor[hit] = starts[hit] + k
+        first = np.flatnonzero((np.diff(starts, prepend=-2) != 1) | (np.diff(anchor, prepend=-2) != 0))
+        return starts[first], np.diff(np.append(first, len(starts))), anchor[first]
+
     def distinct(self, keys: np.ndarray, at: np.ndarray):
         """Distinct keys, where each of `keys` is among them, the least and the largest id of each."""
         ids = self.ids[self.doc[at]]
@@ -170,64 +180,93 @@ def least_below(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _symbols(own: Words, at: np.ndarray, window: int) -> np.ndarray:
-    return np.stack([own.hash[at + k].astype(np.uint8) for k in range(window)], axis=1) if len(at) else np.zeros((0, window), np.uint8)
+def _symbols(own: Words, at: np.ndarray, gram: int) -> np.ndarray:
+    """The first words of the suffixes at anchors, as symbols of 8 bits that only choose a group."""
+    return own.hash[at[:, None] + np.arange(gram)].astype(np.uint8)
 
 
 def _first(own: Words, window: int, gram: int):
     hashes, chosen, least = own.anchors(window, gram)
     at = np.flatnonzero(chosen)
-    names, where, low, high = own.distinct(hashes[at], at)
+    names, where, low, high = own.distinct(mix64(hashes[at]), at)  # mixed again: least hashes crowd at the low end
     return hashes, at, least, names, where, low != high
 
 
-def _second(own: Words, heard: pa.Table, parts: int, window: int, gram: int):
-    """Windows that may repeat; for each its number among the different ones; a start and the least id of those."""
-    hashes, at, least, names, where, twice = _first(own, window, gram)
-    repeated = (answered(heard, 1, sizes_by_part(names, parts)) | twice)[where]
-    alive = np.full(len(hashes), NONE)
-    alive[at[repeated]] = hashes[at[repeated]]
-    starts = np.flatnonzero((sliding_least(alive, window - gram + 1) == least) & (least != NONE)) if len(hashes) else np.zeros(0, np.int64)
-    _, one, where = np.unique(own.paths(starts, window), return_index=True, return_inverse=True)
-    one = starts[one]
-    if any((own.word[starts + k] != own.word[one[where] + k]).any() for k in range(window)):  # a clash: by words, then
-        _, one, where = np.unique(own.rows(starts, window), axis=0, return_index=True, return_inverse=True)
-        one, where = starts[one], where.ravel()
-    low = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(low, where, own.ids[own.doc[starts]])
-    return starts, where, one, low
-
-
-def _packet(own: Words, one: np.ndarray, low: np.ndarray, window: int) -> bytes:
-    """Suffixes of `window` words as bytes: the words they have, their numbers, their ids."""
-    used, numbers = np.unique(own.rows(one, window), return_inverse=True)
-    names = [own.names[k] for k in used.tolist()]
-    columns = np.ascontiguousarray(numbers.reshape(-1, window).T)
-    return pack(np.array([len(w) for w in names], "<u4").tobytes(), b"".join(names), columns.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), planes(low, 8))
-
-
-def _suffixes(packets: list[bytes], sizes: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of some packets as rows of numbers that sort as their words do, and their ids."""
+class Passages:
+    """What a block sends in the second round: its different passages of windows that may repeat, in the order of parts."""
+
+    def __init__(self, own: Words, heard: pa.Table, parts: int, window: int, gram: int, prefixes: Prefixes):
+        hashes, at, least, names, where, twice = _first(own, window, gram)
+        repeated = (answered(heard, 1, sizes_by_part(names, parts)) | twice)[where]
+        alive = np.full(len(hashes), NONE)
+        alive[at[repeated]] = hashes[at[repeated]]
+        width = window - gram + 1
+        self.starts = np.flatnonzero((sliding_least(alive, width) == least) & (least != NONE)) if len(hashes) else np.zeros(0, np.int64)
+        begin, count, anchor = own.passages(self.starts, hashes, least, width)
+        words, seen = own.word.astype("<i4").tobytes(), {}
+        where = np.array([seen.setdefault(words[4 * a : 4 * b], len(seen)) for a, b in zip(begin.tolist(), (begin + count + window - 1).tolist(), strict=True)], np.int64)
+        one = np.zeros(len(seen), np.int64)
+        one[where] = np.arange(len(begin))
+        part = prefixes.part(_symbols(own, anchor[one], gram))
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.part, self.begin, self.count = part[order], begin[one][order], count[one][order]
+        self.low = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(self.low, place[where], own.ids[own.doc[begin]])
+        # Of each window: its passage, and its place among the windows of all passages.
+        self.passage = np.repeat(place[where], count)
+        ends = np.cumsum(self.count)
+        self.window = (ends - self.count)[self.passage] + self.starts - np.repeat(begin, count)
+
+    def sizes(self) -> dict[int, int]:
+        """How many windows go to each part."""
+        found, begin = np.unique(self.part, return_index=True)
+        return dict(zip(found.tolist(), np.add.reduceat(self.count, begin).tolist(), strict=True)) if len(found) else {}
+
+    def rows(self, own: Words, block: int, window: int) -> list[tuple]:
+        found, begin = np.unique(self.part, return_index=True)
+        groups = np.split(np.arange(len(self.part)), begin[1:]) if len(found) else []
+        return [(p, block, int(self.count[mine].sum()), self._packet(own, mine, window)) for p, mine in zip(found.tolist(), groups, strict=True)]
+
+    def _packet(self, own: Words, mine: np.ndarray, window: int) -> bytes:
+        """Some passages as bytes: the words they have, their numbers, the passages' lengths and ids."""
+        length = self.count[mine] + window - 1
+        at = np.repeat(self.begin[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        used, numbers = np.unique(own.word[at], return_inverse=True)
+        names = [own.names[k] for k in used.tolist()]
+        return pack(
+            np.array([len(w) for w in names], "<u4").tobytes(), b"".join(names), numbers.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(),
+            length.astype("<u4").tobytes(), planes(self.low[mine], 8),
+        )
+
+
+def _suffixes(packets: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of `window` words in the passages of some packets, as rows of numbers that sort as their words do, and their ids."""
     seen: dict[bytes, int] = {}
-    rows, low = [], []
-    for data, n in zip(packets, sizes, strict=True):
-        lengths, words, numbers, ids = unpack(data)
+    words, starts, ids, at = [], [], [], 0
+    for data in packets:
+        lengths, joined, numbers, length, low = unpack(data)
         ends = np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64).tolist()
-        mine = np.array([seen.setdefault(words[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int32)
-        numbers = np.frombuffer(numbers, "<u2" if len(mine) <= 1 << 16 else "<u4").reshape(window, n)
-        rows.append(mine[numbers].T)
-        low.append(from_planes(ids, n, 8).view(np.int64))
-    place = np.empty(len(seen), np.int32)
+        mine = np.array([seen.setdefault(joined[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int32)
+        words.append(mine[np.frombuffer(numbers, "<u2" if len(mine) <= 1 << 16 else "<u4")])
+        length = np.frombuffer(length, "<u4").astype(np.int64)
+        count = length - window + 1
+        begin = at + np.cumsum(length) - length
+        starts.append(np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum()))
+        ids.append(np.repeat(from_planes(low, len(length), 8).view(np.int64), count))
+        at += len(words[-1])
     names = list(seen)
+    place = np.empty(len(names), np.int32)
     place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-    return place[np.concatenate(rows)], np.concatenate(low)
+    return place[np.concatenate(words)][np.concatenate(starts)[:, None] + np.arange(window)], np.concatenate(ids)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = ANCHOR) -> DataFrame:
     """row (all columns but the text), kept (remaining words, joined by a space), spans (maximal runs of removed words, [from, to)), n_words, n_removed, kept_sha256."""
     blocks, parts = into_blocks(docs, id_col, text)
     slim = blocks.select("block", "id", "text")
-    prefixes = Prefixes(_sample(docs, id_col, text, window), parts)
+    prefixes = Prefixes(_sample(docs, id_col, text, window, gram), parts)
 
     def load(table: pa.Table) -> Words:
         return Words(table.column("id").to_numpy(), table.column("text").to_pylist())
@@ -235,33 +274,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def anchors(table: pa.Table) -> pa.Table:
         return send_keys(table.column("block")[0].as_py(), _first(load(table), window, gram)[3], parts, ANCHOR_WIDTH)
 
-    def suffixes(table: pa.Table, heard: pa.Table) -> pa.Table:
+    def passages(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
             return sent([])
-        own, block = load(table), table.column("block")[0].as_py()
-        _, _, one, low = _second(own, heard, parts, window, gram)
-        part = prefixes.part(_symbols(own, one, window))
-        order = np.argsort(part, kind="stable")
-        found, begin = np.unique(part[order], return_index=True)
-        groups = zip(found.tolist(), np.split(order, begin[1:]) if len(found) else [], strict=True)
-        return sent([(p, block, len(mine), _packet(own, one[mine], low[mine], window)) for p, mine in groups])
+        own = load(table)
+        return sent(Passages(own, heard, parts, window, gram, prefixes).rows(own, table.column("block")[0].as_py(), window))
 
     def subtrees(table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        words, low = _suffixes(table.column("data").to_pylist(), sizes, window)
-        return answers(table.column("block").to_pylist(), 2, table.column("part")[0].as_py(), np.array(sizes), least_below(words, low) < low)
+        words, low = _suffixes(table.column("data").to_pylist(), window)
+        return answers(table.column("block").to_pylist(), 2, table.column("part")[0].as_py(), table.column("n").to_numpy(), least_below(words, low) < low)
 
     fields = [T.StructField("row", blocks.schema["row"].dataType), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
     fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def cut(table: pa.Table, heard: pa.Table) -> pa.Table:
         own = load(table)
-        starts, where, one, low = _second(own, heard, parts, window, gram)
-        part = prefixes.part(_symbols(own, one, window))
-        smaller = np.zeros(len(one), bool)
-        # Bits come by part, and within a part in the order in which the different windows went.
-        smaller[np.argsort(part, kind="stable")] = answered(heard, 2, dict(enumerate(np.bincount(part, minlength=parts).tolist())))
-        hit = starts[smaller[where] | (low[where] < own.ids[own.doc[starts]])]
+        asked = Passages(own, heard, parts, window, gram, prefixes)
+        smaller = answered(heard, 2, asked.sizes())
+        hit = asked.starts[smaller[asked.window] | (asked.low[asked.passage] < own.ids[own.doc[asked.starts]])]
         marks = np.zeros(len(own.hash) + 1, np.int32)
         np.add.at(marks, hit, 1)
         np.add.at(marks, hit + window, -1)
@@ -285,24 +315,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         )
 
     first = materialize(slim.groupBy("block").applyInArrow(anchors, SENT).groupBy("part").applyInArrow(met_elsewhere(1, ANCHOR_WIDTH), ANSWER))
-    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(suffixes, SENT)
+    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(passages, SENT)
     second = materialize(second.groupBy("part").applyInArrow(subtrees, ANSWER))
     return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(cut, T.StructType(fields))
 
 
-def _sample(docs: DataFrame, id_col: str, text: str, window: int) -> np.ndarray:
-    """Symbols of a bounded sample of suffixes."""
+def _sample(docs: DataFrame, id_col: str, text: str, window: int, gram: int) -> np.ndarray:
+    """Symbols of a bounded sample of the suffixes at anchors."""
     every = max(1, docs.count() // SAMPLE_DOCS)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(every)) == 0).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
             own = Words(np.zeros(batch.num_rows, np.int64), batch.column(0).to_pylist())
-            at = np.flatnonzero(own.starts(window))
-            paths = own.paths(at, window)
-            at = at[np.argsort(paths, kind="stable")[: SAMPLE_EACH * batch.num_rows]]
-            yield pa.RecordBatch.from_arrays([pa.array([_symbols(own, at, window).tobytes()], pa.binary())], names=["symbols"])
+            at = np.flatnonzero(own.anchors(window, gram)[1])
+            at = at[np.argsort(mix64(own.paths(at, gram)), kind="stable")[: SAMPLE_EACH * batch.num_rows]]
+            yield pa.RecordBatch.from_arrays([pa.array([_symbols(own, at, gram).tobytes()], pa.binary())], names=["symbols"])
 
     # Ordered by hash and limited: however the ids hash, the driver sees no more than this.
     rows = some.mapInArrow(run, "symbols binary").orderBy(F.xxhash64("symbols")).limit(SAMPLE_DOCS).collect()
-    return np.frombuffer(b"".join(bytes(r[0]) for r in rows)[: SAMPLE_DOCS * SAMPLE_EACH * 4 * window], np.uint8).reshape(-1, window)
+    return np.frombuffer(b"".join(bytes(r[0]) for r in rows)[: SAMPLE_DOCS * SAMPLE_EACH * gram], np.uint8).reshape(-1, gram)
