@@ -85,14 +85,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         .where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("before") + F.col("size")))
         .select("s", "bucket", "before", "need")
     )
-    ranked = Window.partitionBy("source").orderBy("u", "v").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = (
-        slim.join(small(cut.withColumnRenamed("bucket", "cut"), n_sources), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("cut")))
-        .withColumn("middle", F.col("before") + F.coalesce(F.sum("size").over(ranked), F.lit(0)) + F.col("size") / 2)
-        .where(F.col("middle") <= F.col("need"))
-    )
-    # The last document that goes in: the mix takes all at or below it.
-    last = at_cut.groupBy("s").agg(F.max(F.struct("u", "v")).alias("last"))
+    equal = slim.join(small(cut.withColumnRenamed("bucket", "cut"), n_sources), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("cut")))
+    equal = equal.where("size > 0").groupBy("s", "before", "need", "u", "v").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("all"))
+    ranked = Window.partitionBy("s").orderBy("u", "v").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("need") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("all")).over(ranked), F.lit(0))
+    # A row goes in if its middle does.
+    equal = equal.withColumn("some", F.least(F.col("all"), F.floor(room / F.col("size") + 0.5).cast("long"))).where("some > 0")
+    # The last rows that go in, and how many of them: the mix takes all below.
+    last = equal.groupBy("s").agg(F.max(F.struct("u", "v", "some", "all")).alias("last"))
     cuts = materialize(
         sources.withColumnRenamed("source", "s1")
         .join(cut.select(F.col("s").alias("s2"), "bucket"), F.col("s1").eqNullSafe(F.col("s2")), "left")
@@ -107,7 +107,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         .join(small(cuts, n_sources), F.col("source").eqNullSafe(F.col("s1")))
     )
     below = F.shiftright("u", 60 - BUCKET_BITS) < F.col("bucket")
-    upto = F.coalesce(F.struct("u", "v") <= F.col("last"), F.lit(False))
-    extra = F.coalesce(F.col("bucket").isNotNull() & (below | upto), F.lit(False)).cast("long")
-    repeats = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long")
+    here = F.struct("u", "v")
+    upto = F.struct("last.u", "last.v")
+    split = F.coalesce((here == upto) & (F.col("last.some") < F.col("last.all")), F.lit(False))
+    extra = F.coalesce(F.col("bucket").isNotNull() & (below | (here <= upto)), F.lit(False))
+    if cuts.where("last.some < last.all").limit(1).count():
+        among = _first_of_equal(materialize(full.where(split).withColumn("at", F.monotonically_increasing_id())), lambda df: small(df, n_sources))
+        full = full.where(~split).withColumn("extra", extra).unionByName(among)
+    else:
+        full = full.withColumn("extra", extra)
+    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("long")).otherwise(0).cast("long")
     return full.withColumn("repeats", repeats).select("row", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def _first_of_equal(rows: DataFrame, small) -> DataFrame:
+    """rows with extra: whether they are among the first last.some of their source by `at`, a number that grows within a
+    partition and from one to the next. Partitions are counted, and only the one with the cut is ranked."""
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy("s1", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("last.some").alias("some"))
+    running = Window.partitionBy("s1").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("left", F.col("some") - F.coalesce(F.sum("n").over(running), F.lit(0)))
+    at_cut = materialize(counts.where("left > 0 and left <= n").select(F.col("s1").alias("s4"), "part", "left"))
+    mine = rows.join(small(at_cut), F.col("s1").eqNullSafe(F.col("s4")) & (part == F.col("part"))).select("s4", "left", "at")
+    place = F.row_number().over(Window.partitionBy("s4").orderBy("at"))
+    upto = materialize(mine.withColumn("place", place).where("place = left").select(F.col("s4").alias("s5"), F.col("at").alias("upto")))
+    joined = rows.join(small(upto), F.col("s1").eqNullSafe(F.col("s5")))
+    return joined.withColumn("extra", F.col("at") <= F.col("upto")).drop("at", "s5", "upto")
