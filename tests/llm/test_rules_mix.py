@@ -78,6 +78,18 @@ def test_mix(spark, seed):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_takes_some_of_many_equal_rows(spark):
+    rows = [(1, "w w w w", "a")] * 1000 + [(k, "w w", "b") for k in range(1000)] + [(2, "x y z", None)] * 700
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, at int").repartition(9)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and len({r.row.at for r in got}) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.row.source] += r.taken
+        target[r.row.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 4 for s in target) and len({r.repeats for r in got if r.row.source == "a"}) == 2
+
+
 def test_site_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -91,6 +103,77 @@ def test_site_classifier_on_held_out_labels(spark):
     assert len(got) == docs.count()
 
 
+def plain_features(text):
+    stop = {w for words in quality_rules.STOP_WORDS.values() for w in words.split()}
+    text = text or ""
+    words = re.findall(WORD, text)
+    n = max(len(words), 1)
+    lines = [x for x in text.split("\n") if re.search(WORD, x)]
+    return [
+        min(sum(c in quality_rules.SYMBOLS for c in text) / n, 3), sum(w.strip(".,;:!?()\"'").lower() in stop for w in words) / n,
+        min(sum(map(len, words)) / n, 30), len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        (len(lines) - len(set(lines))) / max(len(lines), 1), np.log1p(len(words)), sum(c in "0123456789" for c in text) / n,
+    ]
+
+
+def plain_classifier(rows, labels):
+    """rows (text, host, path); labels {row: 0 or 1}: evidence, host share, path share and posterior of each row."""
+    x = np.array([plain_features(t) for t, _, _ in rows])
+    known = sorted(labels)
+    weights, offset, prior = site_bayes.fit(x[known], np.array([labels[k] for k in known], float))
+    evidence = np.clip(x @ weights + offset, -20, 20)
+    p = np.round(1 / (1 + np.exp(-evidence - np.log(prior / (1 - prior)))), 6)
+    share = lambda v, less, m, k: (sum(v) - less + k * m) / (len(v) - bool(less) + k)
+
+    def strength(groups):
+        groups = [(len(v), sum(v) / len(v), m) for v, m in groups if len(v) > 1]
+        between = max(0, sum(n * (s - m) ** 2 for n, s, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / sum(n * m * (1 - m) for n, _, m in groups)
+        return min(1000, max(1, 1 / between - 1)) if between else 1000
+
+    for _ in range(site_bayes.ROUNDS):
+        last = p
+        host, path = defaultdict(list), defaultdict(list)
+        for k, (_, h, q) in enumerate(rows):
+            host[h].append(p[k])
+            path[h, q].append(p[k])
+        corpus = p.mean()
+        of_hosts = strength([(v, corpus) for v in host.values()])
+        of_paths = strength([(v, share(host[h], 0, corpus, of_hosts)) for (h, _), v in path.items()])
+        site = {(h, q): share(v, 0, share(host[h], 0, corpus, of_hosts), of_paths) for (h, q), v in path.items()}
+        prior = np.array([site[h, q] for _, h, q in rows])
+        p = np.round(1 / (1 + np.exp(-evidence - np.log(prior / (1 - prior)))), 6)
+    out = []
+    for k, (_, h, q) in enumerate(rows):
+        a = share(host[h], last[k], corpus, of_hosts)
+        b = share(path[h, q], last[k], a, of_paths)
+        out.append((evidence[k], a, b, 1 / (1 + np.exp(-evidence[k] - np.log(b / (1 - b))))))
+    return out
+
+
+def test_site_classifier_against_plain_python(spark):
+    rnd = random.Random(6)
+    sites = [(h, q, rnd.random()) for h in (None, "a", "b", "é") for q in (None, "x", "y")]
+    rows, truth = [], []
+    for _ in range(2000):
+        h, q, good = rnd.choice(sites)
+        truth.append(int(rnd.random() < good))
+        prose = " ".join(rnd.choice("the of and house garden river 12 walks".split()) for _ in range(rnd.randint(1, 80)))
+        rows.append((prose if rnd.random() < (0.85 if truth[-1] else 0.25) else prose.replace("the", "$").replace("of", "# #") + " a a a\n\nx\nx", h, q))
+    rows += [(None, "a", "x"), ("", None, None), (" \n", "b", "x"), ("word " * 60_000, "a", "y"), ("only", "one", "site"), rows[0], rows[0]]
+    truth += [0, 0, 0, 0, 1, truth[0], truth[0]]
+    labels = {k: truth[k] for k in range(0, 2000, 3)}
+    docs = spark.createDataFrame([(k, *r, 0.5, 1) for k, r in enumerate(rows)], "doc_id long, text string, source string, lang string, quality double, n int")
+    got = {r.doc_id: r for r in site_bayes.classify(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    for k, want in enumerate(plain_classifier(rows, labels)):
+        assert [got[k].evidence, got[k].host_share, got[k].path_share, got[k].quality] == pytest.approx(want, abs=2e-5)
+    # Calibrated: the mean posterior of the unlabelled rows of a site is near its share of good ones.
+    off = []
+    for h, q, _ in sites:
+        mine = [k for k in range(2000) if rows[k][1:] == (h, q) and k not in labels]
+        off.append(np.mean([got[k].quality for k in mine]) - np.mean([truth[k] for k in mine]))
+    assert abs(np.mean(off)) < 0.03 and np.mean(np.abs(off)) < 0.08
+
+
 def test_site_classifier_edges(spark):
     rows = [(i, t, s, p) for i, (t, s, p) in enumerate([(None, None, None), ("", "a", None), ("the cat and the dog", "a", "x"), ("### $$$", "b", "x")])]
     docs = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, source string, lang string")
