@@ -1,15 +1,18 @@
 """Tool-call linking: calls and results hash-joined by identifier, ordered topologically, validated, written as canonical JSON.
 
 A message that holds calls is a JSON object {"tool_calls": [{"id", "name", "arguments", "after"}]}; one that holds a
-result is {"tool_call_id", "content"}. `after` names the call whose result a call builds on, if any, so calls form a
-forest; depths in it come from pointer doubling, in as many joins as the logarithm of the longest chain, and
-(depth, turn, pos) sorts every call behind what it builds on. An `after` that lists several calls isn't followed: the call
-is a root and not valid, with an error that says so. No conversation is gathered in one task.
-
-Identifiers are those of a conversation. Of several calls or results with one identifier the least by (turn, pos, content)
-counts, `copies` tells how many calls there were. Status: linked, no_result, no_call (a result without a call), cycle
-(calls that build on each other; their depth is null) or early (a result before its call). Other messages, broken JSON and
-null texts make no rows. A null conversation is one of its own; a null turn sorts first.
+result is {"tool_call_id", "content"}. `after` names the call, or lists the calls, whose results a call builds on, so calls
+form a graph; (depth, turn, pos) sorts every call behind all it builds on, depth being the longest path from a call
+that builds on none. Chains, where each call builds on one, are followed by pointer doubling, in as many joins
+as the logarithm of the longest; calls that build on several take one more join for each such call on a path. No
+conversation is gathered in one task.
+
+Identifiers are those of a conversation. Of several calls with one identifier the least by (turn, pos, content) counts,
+`copies` tells how many there were; of several results the least by (turn, content) among those at or after the call's
+turn, else the least of all. Status: linked, no_result, no_call (a result without a call), cycle (calls that build on
+each other, or on such calls; their depth is null) or early (all results are before the call). A call that builds on a call
+that isn't there is as one that doesn't. Other messages, broken JSON and null texts make no rows. A null conversation is
+one of its own, apart from one named "null"; a null turn sorts first.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialize
+from spindrift.llm.common import discard, materialize
 
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 #: For each tool its arguments: their type, and whether they are required.
@@ -31,7 +34,7 @@ SCHEMAS = {
     "translate": {"text": ("string", True), "to": ("string", True)},
 }
 
-EVENTS = "conv string, turn long, pos int, kind string, id string, name string, after string, body string, errors array<string>"
+EVENTS = "conv string, turn long, pos int, kind string, id string, name string, after array<string>, body string, errors array<string>"
 
 
 def canonical(value) -> str:
@@ -74,20 +77,16 @@ def read_events(conv: str | None, turn: int | None, text: str | None, schemas: d
             if isinstance(arguments, str):  # many writers put the arguments' JSON in a string
                 parsed = _loads(arguments)
                 arguments = arguments if parsed is None else parsed
-            after, wrong = call.get("after"), check_arguments(name, arguments, schemas)
-            if isinstance(after, list):  # one call is followed, several aren't
-                named = sorted({x for x in after if isinstance(x, str)})
-                wrong += ["after names several calls"] * (len(named) > 1)
-                after = named[0] if len(named) == 1 else None
-            after = after if isinstance(after, str) else None
-            yield conv, turn, pos, "call", call["id"], name, after, canonical(arguments), wrong
+            after = call.get("after")
+            after = sorted({x for x in (after if isinstance(after, list) else [after]) if isinstance(x, str)})
+            yield conv, turn, pos, "call", call["id"], name, after, canonical(arguments), check_arguments(name, arguments, schemas)
     if isinstance(message.get("tool_call_id"), str):
-        yield conv, turn, 0, "result", message["tool_call_id"], None, None, canonical(message.get("content")), []
+        yield conv, turn, 0, "result", message["tool_call_id"], None, [], canonical(message.get("content")), []
 
 
 def _serialise(conv, turn, id_, name, after, call, result) -> str:
     out = {"id": id_, "name": name, "arguments": None if call is None else json.loads(call), "result": None if result is None else json.loads(result), "turn": turn, "conversation": conv}
-    return canonical(out | ({"after": after} if after is not None else {}))
+    return canonical(out | ({"after": after[0] if len(after) == 1 else after} if after else {}))
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", schemas: dict | None = None) -> DataFrame:
@@ -96,45 +95,37 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in EVENTS.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
         for batch in batches:
             found = [e for row in zip(*[c.to_pylist() for c in batch.columns], strict=True) for e in read_events(*row, schemas)]
             columns = list(zip(*found, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    slim = messages.select(F.coalesce(F.col(conv).cast("string"), F.lit("null")).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text"))
+    # A key that isn't null: a null conversation is "", any other has a mark before its name.
+    key = F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit(""))
+    slim = messages.select(key.alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text"))
     found = materialize(slim.mapInArrow(events, EVENTS))
     body = F.struct("turn", "pos", "body", "name", "after", "errors")
-    calls = found.where("kind = 'call'").groupBy("conv", "id").agg(F.min(body).alias("c"), F.count(F.lit(1)).alias("copies"))
-    results = found.where("kind = 'result'").groupBy("conv", "id").agg(F.min(F.struct("turn", "body")).alias("r"))
+    calls = materialize(found.where("kind = 'call'").groupBy("conv", "id").agg(F.min(body).alias("c"), F.count(F.lit(1)).alias("copies")))
+    answer = F.struct("turn", "body")
+    since = F.col("since").isNull() | F.coalesce(F.col("turn") >= F.col("since"), F.lit(False))
+    results = found.where("kind = 'result'").join(calls.select("conv", "id", F.col("c.turn").alias("since")), ["conv", "id"], "left")
+    results = results.groupBy("conv", "id").agg(F.min(F.when(since, answer)).alias("late"), F.min(answer).alias("least"))
+    results = results.select("conv", "id", F.coalesce("late", "least").alias("r"), F.col("late").isNull().alias("early"))
     linked = materialize(calls.join(results, ["conv", "id"], "full"))
-    # Pointer doubling: each call knows the call `hop` steps up, and how many steps that is.
-    known = linked.where("c is not null").select("conv", "id", F.col("c.after").alias("after"))
-    above = known.select(F.col("conv").alias("conv_up"), F.col("id").alias("id_up"))
-    up = known.join(above, (F.col("conv") == F.col("conv_up")) & (F.col("after") == F.col("id_up")), "left")
-    up = materialize(up.select("conv", "id", F.col("id_up").alias("up"), F.when(F.col("id_up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    open_, rounds = up.where("up is not null").count(), 0
-    while open_ and rounds < 63:
-        over = up.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        step = up.join(over, (F.col("conv") == F.col("c2")) & (F.col("up") == F.col("i2")), "left")
-        up = materialize(step.select("conv", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
-        before, open_, rounds = open_, up.where("up is not null").count(), rounds + 1
-        if open_ == before and rounds > 1 and not _moves(up):
-            break
-    depths = up.select("conv", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
-    rows = linked.join(depths, ["conv", "id"], "left")
+    rows = linked.join(depths(linked.where("c is not null").select("conv", "id", F.col("c.after").alias("after"))), ["conv", "id"], "left")
     status = (
         F.when(F.col("c").isNull(), "no_call")
         .when(F.col("depth").isNull(), "cycle")
         .when(F.col("r").isNull(), "no_result")
-        .when(F.col("r.turn") < F.col("c.turn"), "early")
+        .when(F.col("early"), "early")
         .otherwise("linked")
     )
     rows = rows.select(
-        "conv", F.col("id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.turn").alias("turn"), F.col("c.pos").alias("pos"),
+        F.when(F.col("conv") != "", F.substr("conv", F.lit(2))).alias("conv"), F.col("id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.turn").alias("turn"), F.col("c.pos").alias("pos"),
         F.col("r.turn").alias("result_turn"), "depth", F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
         F.coalesce(F.size("c.errors") == 0, F.lit(False)).alias("valid"), F.coalesce("c.errors", F.array().cast("array<string>")).alias("errors"), status.alias("status"),
-        F.col("c.after").alias("after"), F.col("c.body").alias("call"), F.col("r.body").alias("result"),
+        F.coalesce("c.after", F.array().cast("array<string>")).alias("after"), F.col("c.body").alias("call"), F.col("r.body").alias("result"),
     )
     keep = [f for f in rows.schema.fields if f.name not in ("after", "call", "result")]
 
@@ -147,25 +138,61 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     return rows.mapInArrow(write, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", json string")
 
 
-def _moves(up: DataFrame) -> bool:
-    """Whether any call not yet at a root could still reach one: it is above a call that has."""
-    done = up.where("up is null").select(F.col("conv").alias("c2"), F.col("id").alias("i2"))
-    return bool(up.join(done, (F.col("conv") == F.col("c2")) & (F.col("up") == F.col("i2")), "left_semi").limit(1).count())
+def depths(calls: DataFrame) -> DataFrame:
+    """(conv, id, depth) of calls(conv, id, after): the longest path to a call that builds on none; null on and behind cycles."""
+    there = calls.select("conv", F.col("id").alias("up"))
+    edges = materialize(calls.select("conv", "id", F.explode("after").alias("up")).join(there, ["conv", "up"]).select("conv", "id", "up"))
+    above = edges.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("one"))
+    # Pointers: a call that builds on one other points at it; any other is the end of its chain.
+    start = calls.select("conv", "id").join(above, ["conv", "id"], "left")
+    alone = F.coalesce("n", F.lit(0)) == 1
+    up = start.select("conv", "id", F.coalesce("n", F.lit(0)).alias("n"), F.when(alone, F.col("one")).otherwise(F.col("id")).alias("top"), alone.cast("long").alias("far"), (~alone).alias("done"))
+    up = materialize(up)
+    open_, before = up.where("not done").count(), -1
+    # A round doubles the distance that pointers reach. One that ends no chain ends none later either: what is left is cycles.
+    while open_ and open_ != before:
+        over = up.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("n").alias("n2"), F.col("top").alias("top2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        step = up.join(over, (F.col("conv") == F.col("c2")) & (F.col("top") == F.col("i2")))
+        last = up
+        up = materialize(step.select("conv", "id", "n", F.col("top2").alias("top"), F.when(F.col("done"), F.col("far")).otherwise(F.col("far") + F.col("far2")).alias("far"), (F.col("done") | F.col("done2")).alias("done")))
+        discard(last)
+        before, open_ = open_, up.where("not done").count()
+    ends = materialize(up.where("done and top = id and n = 0").select("conv", "id", F.lit(0).cast("long").alias("depth")))
+    # The ends that build on several wait until all of these are known.
+    several = up.where("n > 1").select("conv", "id").join(edges, ["conv", "id"])
+    parents = up.select("conv", F.col("id").alias("up"), "top", (F.col("far") + 1).alias("far"), F.col("done").alias("sure"))
+    waiting = materialize(several.join(parents, ["conv", "up"]).select("conv", "id", "top", "far", "sure"))
+    while waiting.limit(1).count():
+        known = ends.select("conv", F.col("id").alias("top"), "depth")
+        now = waiting.join(known, ["conv", "top"], "left").groupBy("conv", "id")
+        now = now.agg(F.bool_and(F.col("sure") & F.col("depth").isNotNull()).alias("all"), F.max(F.col("depth") + F.col("far")).alias("depth")).where("all").select("conv", "id", "depth")
+        now = materialize(now)
+        if not now.limit(1).count():
+            break
+        last, ends = (ends, waiting), materialize(ends.unionByName(now))
+        waiting = materialize(waiting.join(now, ["conv", "id"], "left_anti"))
+        discard(*last, now)
+    tops = ends.select("conv", F.col("id").alias("top"), "depth")
+    return up.where("done").join(tops, ["conv", "top"]).select("conv", "id", (F.col("depth") + F.col("far")).alias("depth"))
 
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """conversations with plain turns put as tool traffic: a user's turn calls a tool chosen by its text, building on
-    the call two turns before; the assistant's turn after it is the result. Texts that are such JSON already stay."""
+    the call two turns before, and at each eighth turn on the one four turns before as well; the assistant's turn after it
+    is the result. A text of under three words names no number of words, so what needs one isn't valid. Texts that
+    are such JSON already stay."""
     text = F.coalesce("text", F.lit(""))
     ident = lambda back: F.concat(F.lit("c"), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit("-"), (F.coalesce("turn", F.lit(0)) - back).cast("string"))
     tool = F.element_at(F.array(*[F.lit(x) for x in sorted(SCHEMAS)]), (F.pmod(F.crc32(text.cast("binary")), F.lit(len(SCHEMAS))) + 1).cast("int"))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    words = F.when(words >= 3, words)
     arguments = (
         F.when(tool == "search", F.to_json(F.struct(words.alias("words"), text.alias("query"))))
         .when(tool == "summarise", F.to_json(F.struct(text.alias("text"), words.alias("limit"))))
         .otherwise(F.to_json(F.struct(text.alias("text"), F.lit("en").alias("to"))))
     )
-    call = F.to_json(F.struct(F.array(F.struct(ident(0).alias("id"), tool.alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, ident(2)).alias("after"))).alias("tool_calls")))
+    after = F.when((F.col("turn") >= 8) & (F.col("turn") % 8 == 0), F.array(ident(2), ident(4))).when(F.col("turn") >= 2, F.array(ident(2)))
+    call = F.to_json(F.struct(F.array(F.struct(ident(0).alias("id"), tool.alias("name"), arguments.alias("arguments"), after.alias("after"))).alias("tool_calls")))
     result = F.to_json(F.struct(ident(1).alias("tool_call_id"), text.alias("content")))
     ready = F.get_json_object("text", "$.tool_calls").isNotNull() | F.get_json_object("text", "$.tool_call_id").isNotNull()
     payload = F.when(ready, F.col("text")).when(F.col("role") == "user", call).when(F.col("role") == "assistant", result)
