@@ -3,10 +3,14 @@
 Fingerprints are made from whole texts in Arrow batches and reduced to classes of equal ones. A top tree of vantage
 points, chosen from a bounded sample, deals the classes to shards by Hamming distance: a fingerprint within `radius`
 of the vantage point goes left; one beyond it goes right, and left as well if the triangle bound can't exclude a partner
-there (its distance is at most `radius` + `bits`). So every pair within `bits` meets in some shard, each pair being
-compared only there. A shard goes on splitting the same way in memory, then compares pairs in small leaves.
-A leaf that no vantage point splits is compared in blocks. Only a spanning forest of a shard's links leaves it, so a
-group of thousands of near copies gives thousands of rows, not millions.
+there. Up to WHOLE levels the distance is that of all bits, and the bound is `bits`. Random fingerprints lie in a dense
+shell around any point, so copies would add up further down; deeper trees therefore see one band of the bits at a time.
+Of `bits` + 1 bands, two fingerprints within `bits` agree in one entirely: there the distance is a distance too, the triangle
+bound is 0, and the tree splits without copies, as deep as their number asks for. So every pair within `bits` meets in
+some shard, each pair being compared only there. A shard groups its members by band in the same way; groups
+of more than LEAF are split by vantage points with the full bound, and what none of these splits is compared in
+blocks. Only a spanning forest of a shard's links leaves it, so a group of thousands of near copies gives thousands
+of rows, not millions.
 
 Null and empty texts, and those of white space, have fingerprint zero and link like any other. Repeated rows share a
 fingerprint. Null ids count as larger than any other. An empty table gives an empty result.
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from spindrift.llm.blocks import mix64
 from spindrift.llm.common import materialize
 from spindrift.llm.components import connected_components
 
@@ -33,7 +38,8 @@ SEED = 42
 #: Fingerprints that the driver sees to choose vantage points, whatever the corpus.
 SAMPLE = 1 << 14
 SHARD = 1 << 11
-DEEPEST = 12
+#: Levels of the tree by whole distances, with 1.2 copies a level; deeper ones go by bands. Levels that have points of the sample.
+WHOLE, PLANTED = 6, 12
 LEAF = 64
 SLICE = 1 << 15
 
@@ -114,10 +120,54 @@ def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
+def bands(bits: int) -> list[np.uint64]:
+    """Masks that cut 64 bits into bits + 1 bands: fingerprints that differ in no more than `bits` agree in one band."""
+    edges = [64 * k // (bits + 1) for k in range(bits + 2)]
+    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def deal_by_bands(fps: np.ndarray, points: np.ndarray, depth: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(index, shard) pairs: a shard a band for each fingerprint, by its band's distances from vantage points.
+
+    The first levels have the sampled points; deeper ones have points drawn from the node's number. A bound of 0 needs no radius
+    that suits the data to be right, only to be even.
+    """
+    shards = []
+    for k, mask in enumerate(bands(bits)):
+        node = np.zeros(len(fps), np.int64)
+        radius = int(mask).bit_count() // 2
+        for _ in range(depth):
+            point = np.where(node < len(points), points[np.minimum(node, len(points) - 1)], mix64(node.astype(np.uint64) + np.uint64(SEED)))
+            far = np.bitwise_count((fps ^ point) & mask)
+            # A band of even width: one half of those at the middle distance goes with the nearer, by their first bit.
+            left = (far < radius) | ((far == radius) & ((((fps ^ point) & mask & (~mask + np.uint64(1))) > 0) | (int(mask).bit_count() % 2 == 1)))
+            node = 2 * node + np.where(left, 1, 2)
+        shards.append(node * (bits + 1) + k)
+    return np.tile(np.arange(len(fps)), bits + 1), np.concatenate(shards)
+
+
 def forest(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
     """For distinct fingerprints, the index of the first one that links reach from each."""
     label = np.arange(len(fps))
-    stack = [label.copy()]
+    for mask in bands(bits):
+        order = np.argsort(fps & mask, kind="stable")
+        band = (fps & mask)[order]
+        begin = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(band)))
+        small = np.repeat(size <= LEAF, size)
+        # Small groups all at once: each member with the one k places on, as long as that is of its group.
+        for k in range(1, int(size[size <= LEAF].max(initial=0))):
+            at = np.flatnonzero(small[:-k] & (band[k:] == band[:-k]))
+            near = _far(fps[order[at]], fps[order[at + k]]) <= bits
+            join_labels(label, order[at[near]], order[at[near] + k])
+        for s, n in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+            _grow(fps, np.sort(order[s : s + n]), label, bits)
+    return label
+
+
+def _grow(fps: np.ndarray, own: np.ndarray, label: np.ndarray, bits: int) -> None:
+    """Joins the links among some fingerprints by a vantage-point tree."""
+    stack = [own]
     while stack:
         own = stack.pop()
         if len(own) > LEAF:
@@ -133,7 +183,6 @@ def forest(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
                 _leaf(fps, own, label, bits)
         else:
             _leaf(fps, own, label, bits)
-    return label
 
 
 def _leaf(fps: np.ndarray, own: np.ndarray, label: np.ndarray, bits: int) -> None:
@@ -147,14 +196,14 @@ def _leaf(fps: np.ndarray, own: np.ndarray, label: np.ndarray, bits: int) -> Non
 def classes_and_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints of fps(fp) as all links within `bits` would."""
     n = fps.count()
-    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, n / SHARD))))))
+    depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))))
     sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = plant(sample, depth)
+    tree = plant(sample, min(depth, PLANTED))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            index, shard = deal(own.view(np.uint64), tree, depth, bits)
+            index, shard = deal(own.view(np.uint64), tree, depth, bits) if depth <= WHOLE else deal_by_bands(own.view(np.uint64), tree[0], depth, bits)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(own[index])], names=["shard", "fp"])
 
     def links(group: pa.Table) -> pa.Table:

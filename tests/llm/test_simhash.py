@@ -1,6 +1,7 @@
 """SimHash near-duplicates against brute force."""
 
 import random
+import time
 
 import numpy as np
 import xxhash
@@ -54,6 +55,33 @@ def test_forest_finds_all_links():
     assert label.tolist() == want
 
 
+def test_bands_deal_every_link_without_growing_copies():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    near = [b ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64))) for b in base[:600] for _ in range(2)]
+    fps = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
+    want = brute_components([int(x) for x in fps])
+    for depth in (7, 10):
+        index, shard = simhash.deal_by_bands(fps, simhash.plant(fps[::3], 5)[0], depth)
+        assert len(index) == 3 * len(fps) and np.bincount(np.unique(shard, return_inverse=True)[1]).max() < len(fps) / 2 ** (depth - 4)
+        label = np.arange(len(fps))
+        for s in np.unique(shard):
+            own = np.sort(index[shard == s])
+            simhash.join_labels(label, own, own[simhash.forest(fps[own])])
+        assert label.tolist() == want
+
+
+def test_forest_grows_little_faster_than_its_input():
+    rng = np.random.default_rng(7)
+    took = []
+    for n in (1 << 16, 1 << 19):
+        fps = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        began = time.process_time()
+        simhash.forest(fps)
+        took.append(time.process_time() - began)
+    assert took[1] / took[0] < 8**1.25
+
+
 def test_near_duplicates(spark):
     random.seed(3)
     word = lambda: "".join(random.choices("abcdefgh", k=random.randint(2, 6)))
