@@ -1,9 +1,17 @@
 """Near copies by the Jaccard similarity of word shingles: the wide notion that SimHash with few bits can't carry.
 
 Texts whose sets of five-word shingles have a similarity of 4/5 or more are linked. MinHash bands only gather what may
-be linked (a pair of exactly 4/5 shares none of the 32 bands of 5 with a chance of 3 in a million, a closer one less);
-texts that bands connect meet in one group with their whole sets, and every link is decided by exact counts there. A group is
-searched breadth first, each text being compared with those not yet reached, so near copies of one text cost little.
+be linked (a pair of exactly 4/5 shares none of the 32 bands of 5 with a chance of 3 in a million, a closer one less). In each band's
+bucket the least member is a vantage point: all others are compared with it by their signatures, a byte for each of
+the 160 least hashes, and those that agree in LIKE bytes are of one family (at 4/5 they agree in 128 on average; in fewer
+than LIKE with a chance of one in 10 thousand million). The rest of a bucket, with those whose distance from the vantage point
+doesn't rule a link to them out, is searched among itself.
+
+Every link is then decided by exact counts of whole sets. Again the least member of a family is its vantage point, and the others are
+compared with it, in a plain join whose hot families Spark can split. Jaccard's distance obeys the triangle inequality, so
+a text that isn't linked there can only be linked to texts no nearer the vantage point than its own distance less 1/5: only these
+and it meet in one task, and search among themselves breadth first. A family of near copies of one text, however large,
+thus ends with the join.
 
 Words are lower-cased (ASCII). A text of fewer than five words is one shingle; null, empty and white texts are equal.
 """
@@ -28,6 +36,9 @@ LEAST = (4, 5)
 BANDS, ROWS = 32, 5
 SEED = 42
 SLICE = 1 << 10
+#: Bytes of signatures that must agree for two texts to be of one family.
+LIKE = 96
+SLACK = 1e-9
 
 _draw = np.random.default_rng(SEED)
 _TURN = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -43,13 +54,27 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - SHINGLE + 1))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band."""
+def sketch(own: np.ndarray) -> tuple[list[int], bytes]:
+    """A signed 64-bit key for each band, and the signature."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(own), SLICE):
         np.minimum(least, ((own[at : at + SLICE, None] ^ _TURN) * _TIMES).min(axis=0), out=least)
     keys = [xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), (least >> np.uint64(16)).astype(np.uint8).tobytes()
+
+
+def alike(signatures: np.ndarray) -> np.ndarray:
+    """For each signature (a row of bytes) the index of the first one that agreement in LIKE bytes reaches from it."""
+    label, left, queue = np.arange(len(signatures)), np.arange(len(signatures)), []
+    while len(left):
+        if not queue:
+            root, queue, left = left[0], [left[0]], left[1:]
+        at = queue.pop()
+        found = (signatures[left] == signatures[at]).sum(axis=1) >= LIKE
+        label[left[found]] = root
+        queue += left[found].tolist()
+        left = left[~found]
+    return label
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -94,36 +119,99 @@ def reach(sets: list[np.ndarray]) -> np.ndarray:
     return first[label]
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
+    """Jaccard's distance of two sets of numbers in order, and whether they are linked."""
+    up, down = LEAST
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return 1 - both / either, both * down >= up * either
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _forest(kind):
+    """Links that join the members of a group, given (content, members), as kind says they belong together."""
+
+    def link(group: pa.Table) -> pa.Table:
+        content, first = np.unique(group.column("content").to_numpy(), return_index=True)
+        root = content[kind(group.column("members").take(pa.array(first)))]
+        return pa.table({"a": content[root != content], "b": root[root != content]})
+
+    return link
+
+
+def families(keys: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Links (a, b) between contents that join all those of one bucket of keys(content, key) that are alike by signatures(content, members)."""
+    heads = keys.groupBy("key").agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
+    met = materialize(keys.join(heads, "key").where("content <> head"))
+    left = met.select("content", "head").distinct().join(signatures, "content")
+    left = left.join(signatures.select(F.col("content").alias("head"), F.col("members").alias("other")), "head")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("members", "other"))
+            far = BANDS * ROWS - (a == b).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("content"), batch.column("head"), pa.array(far, pa.int32())], names=["content", "head", "far"])
+
+    far = materialize(left.select("content", "head", "members", "other").mapInArrow(compare, "content long, head long, far int"))
+    most = BANDS * ROWS - LIKE
+    star = far.where(F.col("far") <= most).select(F.col("content").alias("a"), F.col("head").alias("b"))
+    # What isn't like the head of its bucket, and what the triangle inequality doesn't keep apart from that.
+    placed = met.join(far, ["content", "head"])
+    open_ = placed.where(F.col("far") > most).groupBy("key").agg(F.min("far").alias("least"))
+    rest = placed.join(open_, "key").where(F.col("far") >= F.col("least") - most).select("key", "content")
+    several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rest = rest.join(several, "key").join(signatures, "content")
+    like = _forest(lambda column: alike(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)))
+    return star.unionByName(rest.groupBy("key").applyInArrow(like, "a long, b long"))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all contents of one part of sets(part, content, members) that links of similarity LEAST join."""
+    first = sets.groupBy("part").agg(F.min("content").alias("content"))
+    heads = sets.join(first, ["part", "content"]).select("part", F.col("content").alias("head"), F.col("members").alias("other")).dropDuplicates(["part"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distances(a, b) for a, b in zip(_sets(batch.column("members")), _sets(batch.column("other")), strict=True)]
+            far, linked = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("part", "content", "head")], pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["part", "content", "head", "far", "linked"])
+
+    met = sets.join(heads, "part").where("content <> head").select("part", "content", "head", "members", "other")
+    far = materialize(met.mapInArrow(compare, "part long, content long, head long, far double, linked boolean"))
+    star = far.where("linked").select(F.col("content").alias("a"), F.col("head").alias("b"))
+    open_ = far.where("not linked").groupBy("part").agg(F.min("far").alias("least"))
+    reach_of = (LEAST[1] - LEAST[0]) / LEAST[1] + SLACK
+    rest = far.join(open_, "part").where(F.col("far") >= F.col("least") - reach_of).select("part", "content").distinct()
+    several = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+    rest = rest.join(several, "part", "left_semi").join(sets, ["part", "content"])
+    return star.unionByName(rest.groupBy("part").applyInArrow(_forest(lambda column: reach(_sets(column))), "a long, b long"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, content (a hash of the text), root: for each distinct text its least id (null ids last) and the least content linked with it."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([bands(shingles(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["doc_id", "content", "bands"])
+            keys, signatures = zip(*[sketch(shingles(t)) for t in batch.column(2).to_pylist()], strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["doc_id", "content", "bands", "members"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([shingles(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["part", "content", "members"])
 
-    def link(group: pa.Table) -> pa.Table:
-        content, first = np.unique(group.column("content").to_numpy(), return_index=True)
-        members = group.column("members")
-        root = content[reach([np.frombuffer(members[int(k)].as_py(), np.uint64) for k in first])]
-        linked = root != content
-        return pa.table({"content": content[linked], "root": root[linked]})
-
-    signed = own.mapInArrow(sign, "doc_id long, content long, bands array<long>")
+    signed = own.mapInArrow(sign, "doc_id long, content long, bands array<long>, members binary")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
-    signed = materialize(signed.groupBy("content").agg(F.min(rank).alias("rank"), F.first("bands").alias("bands")).select("rank.id", "content", "bands"))
-    keys = signed.select("content", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("content").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    met = connected_components(keys.join(heads, "key").select(F.col("content").alias("a"), F.col("head").alias("b")))
+    signed = materialize(signed.groupBy("content").agg(F.min(rank).alias("rank"), F.first("bands").alias("bands"), F.first("members").alias("members")).select("rank.id", "content", "bands", "members"))
+    met = materialize(connected_components(families(signed.select("content", F.explode("bands").alias("key")), signed.select("content", "members"))))
     met = met.union(met.select(F.col("root").alias("node"), "root").distinct())
-    parts = materialize(signed.join(met, F.col("content") == F.col("node")).select("id", "content", F.col("root").alias("part")))
-    chosen = parts.select(F.col("id").alias("__id"), F.col("content").alias("__content"), "part")
+    chosen = signed.join(met, F.col("content") == F.col("node")).select(F.col("id").alias("__id"), F.col("content").alias("__content"), F.col("root").alias("part"))
+    chosen = materialize(chosen)
     found = own.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content"))).select("part", "content", "text")
-    links = materialize(found.mapInArrow(cut, "part long, content long, members binary").groupBy("part").applyInArrow(link, "content long, root long"))
-    return signed.join(links, "content", "left").select(F.col("id").alias("doc_id"), "content", F.coalesce("root", "content").alias("root"))
+    sets = materialize(found.dropDuplicates(["content"]).mapInArrow(cut, "part long, content long, members binary"))
+    roots = connected_components(links(sets))
+    return signed.join(roots, F.col("content") == F.col("node"), "left").select(F.col("id").alias("doc_id"), "content", F.coalesce("root", "content").alias("root"))
