@@ -1,96 +1,218 @@
-"""String similarities that SQL lacks, on Arrow batches: Indel ratio and the token and partial forms of it, 0 to 100."""
+"""String similarities that SQL lacks: Indel ratio and the token and partial forms of it, 0 to 100.
+
+All scores of a pair come from one Arrow call. A batch of pairs shares its bit vectors: one NumPy operation advances the longest
+common subsequences of all pairs by a letter. What is decided by equality, by containment or by a common beginning
+takes no subsequence at all.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Mask words, and windows, that are held at once.
+MASKS, WINDOWS = 1 << 22, 1 << 17
+
+
+class Strings:
+    """Some strings as rows of letter numbers, with 0 behind the end, in an alphabet that two such lists share."""
+
+    def __init__(self, texts: list[str], alphabet: np.ndarray | None = None):
+        self.length = np.array([len(t) for t in texts], np.int64)
+        wide = max(1, int(self.length.max(initial=0)))
+        # A letter of its own at the end keeps NumPy from taking trailing NULs for padding.
+        codes = np.array([t + "￿" for t in texts], f"<U{wide + 1}").view(np.uint32).reshape(len(texts), -1)[:, :wide].astype(np.int64) + 1
+        codes[np.arange(wide) >= self.length[:, None]] = 0
+        self.codes = codes
+
+    @staticmethod
+    def pair(a: list[str], b: list[str]) -> tuple[Strings, Strings, int]:
+        x, y = Strings(a), Strings(b)
+        alphabet = np.unique(np.concatenate([[0], x.codes.ravel(), y.codes.ravel()]))
+        x.codes, y.codes = np.searchsorted(alphabet, x.codes), np.searchsorted(alphabet, y.codes)
+        return x, y, len(alphabet)
+
+
+def _masks(x: Strings, letters: int) -> np.ndarray:
+    """For each string and letter the places of the letter, as bits in words of 64."""
+    out = np.zeros((len(x.codes), letters, -(-x.codes.shape[1] // 64)), np.uint64)
+    rows = np.arange(len(x.codes))
+    for k in range(x.codes.shape[1]):
+        out[rows, x.codes[:, k], k >> 6] |= np.uint64(1 << (k & 63))
+    out[:, 0] = 0
+    return out
+
+
+def _advance(row: list[np.ndarray], mask: np.ndarray) -> None:
+    """One letter of the second strings: row holds a 0 for each step of the subsequence so far."""
+    carry = None
+    for w, own in enumerate(row):
+        hit = own & mask[:, w]
+        total = own + hit
+        over = total < own
+        if carry is not None:
+            total = total + carry
+            over |= total < carry
+        row[w] = total | (own & ~hit)
+        carry = over.astype(np.uint64)
+
+
+def _steps(row: list[np.ndarray]) -> np.ndarray:
+    return 64 * len(row) - sum(np.bitwise_count(own).astype(np.int64) for own in row)
+
+
+def _chunks(a: list[str], b: list[str]):
+    """Pairs of like length together, so that no row is padded far, and in bounded numbers."""
+    order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
+    at = 0
+    while at < len(order):
+        words = (len(a[order[at]]) >> 6) + 1
+        n = 1
+        while at + n < len(order) and n < MASKS // (64 * words) and (len(a[order[at + n]]) >> 6) + 1 == words:
+            n += 1
+        mine = order[at : at + n]
+        x, y, letters = Strings.pair([a[k] for k in mine], [b[k] for k in mine])
+        step = max(1, MASKS // (letters * -(-x.codes.shape[1] // 64)))
+        for s in range(0, n, step):
+            one, two = (Strings.__new__(Strings) for _ in range(2))
+            one.codes, one.length, two.codes, two.length = x.codes[s : s + step], x.length[s : s + step], y.codes[s : s + step], y.length[s : s + step]
+            yield np.array(mine[s : s + step]), one, two, _masks(one, letters)
+        at += n
+
+
+def commons(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs."""
+    out = np.zeros(len(a), np.int64)
+    a, b = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else ((), ())
+    for mine, x, y, masks in _chunks(list(a), list(b)):
+        row, rows = [np.full(len(mine), ~np.uint64(0)) for _ in range(masks.shape[2])], np.arange(len(mine))
+        for k in range(int(y.length.max(initial=0))):
+            _advance(row, masks[rows, y.codes[:, k]])
+        out[mine] = _steps(row)
+    return out
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+    out = np.full(len(a), 100.0)
+    open_ = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y]
+    if open_:
+        out[open_] = 200.0 * commons([a[k] for k in open_], [b[k] for k in open_]) / total[open_]
+    return out
+
+
+def token_sorts(a: list[str], b: list[str]) -> np.ndarray:
+    ordered = lambda xs: [" ".join(sorted(x.split())) for x in xs]
+    return ratios(ordered(a), ordered(b))
+
+
+def token_sets(a: list[str], b: list[str]) -> np.ndarray:
+    """The best of three ratios: what both have and the rest of each, and either of these with what both have alone. The two
+    strings begin alike, so only their rests need a subsequence, and the shared part is one of both."""
+    out, open_, left, right, shared = np.zeros(len(a)), [], [], [], []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = set(x.split()), set(y.split())
+        if not x or not y:
+            continue
+        both, only_x, only_y = x & y, x - y, y - x
+        if both and (not only_x or not only_y):
+            out[k] = 100.0
+            continue
+        open_.append(k)
+        gap = " " if both else ""
+        shared.append(sum(map(len, both)) + max(0, len(both) - 1))
+        left.append(gap + " ".join(sorted(only_x)))
+        right.append(gap + " ".join(sorted(only_y)))
+    if open_:
+        n, x, y = (np.array(v, np.float64) for v in (shared, list(map(len, left)), list(map(len, right))))
+        best = 200.0 * (n + commons(left, right)) / (2 * n + x + y)
+        some = n > 0
+        for rest in (x, y):
+            best[some] = np.maximum(best, 200.0 * n / (2 * n + rest))[some]
+        out[open_] = best
+    return out
+
+
+def partials(a: list[str], b: list[str]) -> np.ndarray:
+    """The best ratio of the shorter string with a window of the longer, windows clipped at both ends included."""
+    out, open_ = np.zeros(len(a)), []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        if len(x) > len(y):
+            x, y = y, x
+        if x in y if x else not y:
+            out[k] = 100.0
+        elif x:
+            open_.append((k, x, y))
+            if len(x) == len(y):
+                open_.append((k, y, x))
+    if open_:
+        at, x, y = (list(v) for v in zip(*open_, strict=True))
+        np.maximum.at(out, at, np.maximum(_windows(x, y, True), _windows([s[::-1] for s in x], [s[::-1] for s in y], False)))
+    return out
+
+
+def _windows(a: list[str], b: list[str], whole: bool) -> np.ndarray:
+    """The best ratio of a with a beginning of b that is shorter than a, and if wanted with any window of a's length."""
+    out = np.zeros(len(a))
+    for mine, x, y, masks in _chunks(a, b):
+        words, rows, n, best = masks.shape[2], np.arange(len(mine)), x.length, np.zeros(len(mine))
+        row = [np.full(len(mine), ~np.uint64(0)) for _ in range(words)]
+        for k in range(int(n.max()) - 1):
+            _advance(row, masks[rows, y.codes[:, k]])
+            best = np.where(k + 1 < n, np.maximum(best, 200.0 * _steps(row) / (n + k + 1)), best)
+        if whole:
+            count = y.length - n + 1
+            pair = np.repeat(rows, count)
+            start = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+            # A window whose last letter is foreign to the shorter string is never better than its neighbour.
+            end = y.codes[pair, start + n[pair] - 1]
+            useful = masks[pair, end].any(axis=1) | (start + 1 == count[pair])
+            pair, start = pair[useful], start[useful]
+            for s in range(0, len(pair), WINDOWS):
+                p, at = pair[s : s + WINDOWS], start[s : s + WINDOWS]
+                row = [np.full(len(p), ~np.uint64(0)) for _ in range(words)]
+                for k in range(int(n[p].max())):
+                    letter = np.where(k < n[p], y.codes[p, np.minimum(at + k, y.codes.shape[1] - 1)], 0)
+                    _advance(row, masks[p, letter])
+                np.maximum.at(best, p, 100.0 * _steps(row) / n[p])
+        out[mine] = best
+    return out
+
 
 def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit vector a row."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0
-    masks: dict[str, int] = {}
-    for k, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & masks.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return int(commons([a], [b])[0])
 
 
 def ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 100.0 if not total else 100.0 if a == b else 200.0 * common(a, b) / total
+    return float(ratios([a], [b])[0])
 
 
 def token_sort(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return float(token_sorts([a], [b])[0])
 
 
 def token_set(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, only_x, only_y = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not only_x or not only_y):
-        return 100.0
-    shared = " ".join(both)
-    left, right = " ".join([*both, *only_x]), " ".join([*both, *only_y])
-    best = ratio(left, right)
-    return max(best, ratio(shared, left), ratio(shared, right)) if both else best
+    return float(token_sets([a], [b])[0])
 
 
 def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a window of the longer, windows clipped at both ends included."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    best = _partial(a, b)
-    return max(best, _partial(b, a)) if len(a) == len(b) and best < 100 else best
-
-
-def _prefixes(a: str, b: str) -> list[int]:
-    """Longest common subsequences of a with every prefix of b, in one pass."""
-    masks: dict[str, int] = {}
-    for k, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row, out = full, []
-    for c in b:
-        hit = row & masks.get(c, 0)
-        row = (row + hit | row - hit) & full
-        out.append(len(a) - row.bit_count())
-    return out
-
+    return float(partials([a], [b])[0])
 
-def _partial(a: str, b: str) -> float:
-    n, letters = len(a), set(a)
-    best = max((200.0 * x / (n + k) for side in ((a, b), (a[::-1], b[::-1])) for k, x in enumerate(_prefixes(side[0], side[1][: n - 1]), 1)), default=0.0)
-    for k in range(len(b) - n + 1):
-        # A window whose last letter is foreign to the shorter string is never better than its neighbour.
-        if b[k + n - 1] in letters or k == len(b) - n:
-            best = max(best, ratio(a, b[k : k + n]))
-            if best == 100.0:
-                break
-    return best
 
+SCORERS = {"ratio": ratios, "token_sort": token_sorts, "token_set": token_sets, "partial": partials}
 
-def _arrow(scorer):
-    @F.pandas_udf(T.DoubleType())
-    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([scorer(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return scored
+def scores(wanted: dict[str, tuple[str, str, str]]) -> Column:
+    """A struct of scores: {name: (kind of SCORERS, column, column)}, all in one Arrow call. Nulls count as empty."""
+    columns = sorted({c for _, a, b in wanted.values() for c in (a, b)})
+    plan = [(SCORERS[kind], columns.index(a), columns.index(b)) for kind, a, b in wanted.values()]
 
+    @F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in wanted]))
+    def scored(*series: pd.Series) -> pd.DataFrame:
+        texts = [s.fillna("").tolist() for s in series]
+        return pd.DataFrame({name: f(texts[a], texts[b]) for name, (f, a, b) in zip(wanted, plan, strict=True)})
 
-ratio_of = _arrow(ratio)
-token_sort_of = _arrow(token_sort)
-token_set_of = _arrow(token_set)
-partial_of = _arrow(partial)
+    return scored(*[F.col(c) for c in columns])

@@ -29,9 +29,12 @@ SOUNDS = (
     ("ph", "f"), ("gh", "g"), ("ck", "k"), ("kh", "k"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("sh", "s"),
     ("ch", "c"), ("qu", "k"), ("q", "k"), ("x", "ks"), ("z", "s"), ("w", "v"), ("y", "i"),
 )
-SOFT_SOUNDS = (("ge", "je"), ("gi", "ji"), ("gy", "ji"), ("ce", "se"), ("ci", "si"), ("cy", "si"))
-#: The second table puts soft letters first and a hard c after qu and q.
-SOUNDS_SOFT = SOFT_SOUNDS + SOUNDS[:11] + (("c", "k"),) + SOUNDS[11:]
+# The second table of them, which puts soft letters first and a hard c after qu and q.
+SOUNDS_SOFT = (
+    ("ge", "je"), ("gi", "ji"), ("gy", "ji"), ("ce", "se"), ("ci", "si"), ("cy", "si"),
+    ("ph", "f"), ("gh", "g"), ("ck", "k"), ("kh", "k"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("sh", "s"),
+    ("ch", "c"), ("qu", "k"), ("q", "k"), ("c", "k"), ("x", "ks"), ("z", "s"), ("w", "v"), ("y", "i"),
+)
 
 # Legal words as phonetic keys.
 LEGAL_KEYS = (

@@ -35,6 +35,14 @@ class Rule:
         return cls(kind, **values)
 
 
+    @classmethod
+    def parse_repr(cls, text: str) -> Rule:
+        """Rule(kind='thresh', ...), as grid names it."""
+        values = dict(x.split("=") for x in text.removeprefix("Rule(").removesuffix(")").split(", "))
+        read = {"kind": lambda x: x.strip("'"), "exclusive": lambda x: x == "True", "top_n": lambda x: None if x == "None" else int(x)}
+        return cls(**{k: read.get(k, float)(v) for k, v in values.items()})
+
+
 def listed(scores: DataFrame) -> DataFrame:
     """(s1_id, pairs): the candidates of each record, best first, ties to the larger id."""
     return scores.groupBy("s1_id").agg(F.sort_array(F.collect_list(F.struct("prob", "cand_id")), asc=False).alias("pairs"))

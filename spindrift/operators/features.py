@@ -40,32 +40,73 @@ def with_fields(pairs: DataFrame, records: DataFrame, fields: list[str], q: str
     return out.withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
 
 
-def token_features(pairs: DataFrame, normal: DataFrame) -> DataFrame:
-    """The first generation's features that need no fuzzy matching."""
-    x = with_fields(pairs, normal, ["name_norm", "addr_norm", "business_address"])
-    both = lambda f, c: (f(F.col(f"q_{c}")), f(F.col(f"t_{c}")))
-    nt, at, dt = both(X.long_tokens, "name_norm"), both(X.long_tokens, "addr_norm"), both(X.digits, "business_address")
-    pt, post = both(X.sound_tokens, "name_norm"), both(X.postal, "business_address")
-    same = lambda f, c: _flag((f(F.col(f"q_{c}")) != "") & (f(F.col(f"q_{c}")) == f(F.col(f"t_{c}"))))
+#: What a record has for its pairs: made once a record, not once a pair.
+TOKENS = ("name_norm", "addr_norm", "nt", "at", "dt", "pt", "post", "prefix", "sorted", "sound")
+
+
+def record_tokens(normal: DataFrame) -> DataFrame:
+    """source, entity_id, country and TOKENS: the normal forms, token sets and keys that the first generation's features compare."""
+    name, addr, raw = F.col("name_norm"), F.col("addr_norm"), F.col("business_address")
+    return normal.select(
+        "source", "entity_id", "country", "name_norm", "addr_norm", X.long_tokens(name).alias("nt"), X.long_tokens(addr).alias("at"), X.digits(raw).alias("dt"),
+        X.sound_tokens(name).alias("pt"), X.postal(raw).alias("post"), X.prefix(name).alias("prefix"), X.sorted_tokens(name).alias("sorted"), X.name_sound(name).alias("sound"),
+    )
+
+
+def token_features(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The first generation's features that need no fuzzy matching, from record_tokens."""
+    return _token_columns(with_fields(pairs, tokens, list(TOKENS)))
+
+
+def _token_columns(x: DataFrame, *more: Column) -> DataFrame:
+    both = lambda c: (F.col(f"q_{c}"), F.col(f"t_{c}"))
+    same = lambda c: _flag((F.col(f"q_{c}") != "") & (F.col(f"q_{c}") == F.col(f"t_{c}")))
     return x.select(
         "s1_id", "cand_id", F.col("score").alias("blocking_score"), F.col("source").cast("double").alias("cand_source"),
-        jaccard(*nt).alias("name_jaccard"), overlap(*nt).alias("name_overlap"), same(X.prefix, "name_norm").alias("name_prefix"),
-        same(lambda c: c, "name_norm").alias("name_exact"), length_ratio(F.col("q_name_norm"), F.col("t_name_norm")).alias("len_ratio"),
-        jaccard(*at).alias("addr_jaccard"), overlap(*at).alias("addr_overlap"), jaccard(*dt).alias("digit_jaccard"),
+        jaccard(*both("nt")).alias("name_jaccard"), overlap(*both("nt")).alias("name_overlap"), same("prefix").alias("name_prefix"),
+        same("name_norm").alias("name_exact"), length_ratio(*both("name_norm")).alias("len_ratio"),
+        jaccard(*both("at")).alias("addr_jaccard"), overlap(*both("at")).alias("addr_overlap"), jaccard(*both("dt")).alias("digit_jaccard"),
         _flag(F.col("q_addr_norm") == "").alias("s1_addr_empty"), _flag(F.col("t_addr_norm") == "").alias("cand_addr_empty"),
-        same(X.sorted_tokens, "name_norm").alias("sorted_exact"), same(X.name_sound, "name_norm").alias("phon_exact"),
-        jaccard(*pt).alias("phon_jaccard"), _flag(F.arrays_overlap(*post)).alias("postal_exact"),
-        _n(F.array_intersect(*nt)).alias("shared_name"), _n(F.array_intersect(*at)).alias("shared_addr"),
+        same("sorted").alias("sorted_exact"), same("sound").alias("phon_exact"),
+        jaccard(*both("pt")).alias("phon_jaccard"), _flag(F.arrays_overlap(*both("post"))).alias("postal_exact"),
+        _n(F.array_intersect(*both("nt"))).alias("shared_name"), _n(F.array_intersect(*both("at"))).alias("shared_addr"), *more,
     )
 
 
+#: The first generation's fuzzy features: kind and field.
+KEY_FUZZY = {"name_ratio": ("ratio", "name_norm"), "name_token_sort": ("token_sort", "name_norm"), "name_token_set": ("token_set", "name_norm"), "name_partial": ("partial", "name_norm"), "addr_ratio": ("ratio", "addr_norm")}
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all the shuffle partitions: pairs are small in bytes, but Python's share of their cost isn't."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _fuzzy_columns() -> list[Column]:
+    bare = (F.col("q_addr_norm") == "") & (F.col("t_addr_norm") == "")
+    value = {k: F.when(bare, 0.0).otherwise(F.col(f"f.{k}")) if k == "addr_ratio" else F.col(f"f.{k}") for k in KEY_FUZZY}
+    return [F.round(v / 100, 6).alias(k) for k, v in value.items()]
+
+
+def _with_fuzzy(x: DataFrame) -> DataFrame:
+    return x.withColumn("f", fuzzy.scores({k: (kind, f"q_{c}", f"t_{c}") for k, (kind, c) in KEY_FUZZY.items()}))
+
+
 def fuzzy_features(pairs: DataFrame, normal: DataFrame) -> DataFrame:
     """The first generation's fuzzy features, 0 to 1."""
-    x = with_fields(pairs, normal, ["name_norm", "addr_norm"])
-    a, b = F.col("q_name_norm"), F.col("t_name_norm")
-    addr = F.when((F.col("q_addr_norm") == "") & (F.col("t_addr_norm") == ""), 0.0).otherwise(fuzzy.ratio_of("q_addr_norm", "t_addr_norm"))
-    scores = {"name_ratio": fuzzy.ratio_of(a, b), "name_token_sort": fuzzy.token_sort_of(a, b), "name_token_set": fuzzy.token_set_of(a, b), "name_partial": fuzzy.partial_of(a, b), "addr_ratio": addr}
-    return x.select("s1_id", "cand_id", *[F.round(v / 100, 6).alias(k) for k, v in scores.items()])
+    x = _with_fuzzy(_spread(with_fields(pairs, normal, ["name_norm", "addr_norm"])))
+    return x.select("s1_id", "cand_id", *_fuzzy_columns())
+
+
+def key_features(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """All of the first generation's features, from record_tokens."""
+    return _token_columns(_with_fuzzy(_spread(with_fields(pairs, tokens, list(TOKENS)))), *_fuzzy_columns())
+
+
+KEY_FEATURES = (
+    "blocking_score cand_source name_jaccard name_overlap name_prefix name_exact len_ratio addr_jaccard addr_overlap digit_jaccard s1_addr_empty cand_addr_empty "
+    "sorted_exact phon_exact phon_jaccard postal_exact shared_name shared_addr"
+).split() + list(KEY_FUZZY)
 
 
 def word_features(pairs: DataFrame, forms: DataFrame) -> DataFrame:
@@ -91,12 +132,12 @@ def pair_features(union: DataFrame, forms: DataFrame) -> DataFrame:
     x = x.join(word_features(union.select("q", "t"), forms), ["q", "t"])
     col = lambda f: (F.col(f"q_{f}"), F.col(f"t_{f}"))
     same = lambda f: _flag((F.col(f"q_{f}") != "") & (F.col(f"q_{f}") == F.col(f"t_{f}")))
-    scores = {
-        "r_name": fuzzy.ratio_of(*col("name")), "r_name_tsort": fuzzy.token_sort_of(*col("name")), "r_name_tset": fuzzy.token_set_of(*col("name")),
-        "r_name_part": fuzzy.partial_of(*col("name")), "r_phon": fuzzy.token_set_of(*col("phon")), "r_addr": fuzzy.ratio_of(*col("addr")), "r_addr_tset": fuzzy.token_set_of(*col("addr")),
+    wanted = {
+        "r_name": ("ratio", "q_name", "t_name"), "r_name_tsort": ("token_sort", "q_name", "t_name"), "r_name_tset": ("token_set", "q_name", "t_name"), "r_name_part": ("partial", "q_name", "t_name"),
+        "r_phon": ("token_set", "q_phon", "t_phon"), "r_addr": ("ratio", "q_addr", "t_addr"), "r_addr_tset": ("token_set", "q_addr", "t_addr"),
     }
-    return x.select(
-        "q", "t", *[v.alias(k) for k, v in scores.items()],
+    return _spread(x).withColumn("f", fuzzy.scores(wanted)).select(
+        "q", "t", "f.*",
         "name_word_jac", "name_word_ovl", "n_name_words", "addr_word_jac", "addr_word_ovl", "n_addr_words",
         length_ratio(*col("name")).alias("len_ratio"), "cand_source",
         same("name").alias("name_exact"), same("sorted").alias("sorted_exact"), same("phonc").alias("phon_exact"),

@@ -6,21 +6,24 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import bucket
-from spindrift.operators.context import context_base
+from spindrift.operators.context import BASE, EXTRA, context_features
 
-CONTEXT = ["p1", "p1_rank", "p1_ratio", "p1_gap", "n_cands", "n_likely", "p1_sum"]
+CONTEXT = BASE
 
 
 def split(ids: DataFrame, n_val: int, n_fit: int, share: int = 15, key: str = "s1_id") -> DataFrame:
-    """ids with part: val below the share of stable buckets, fit above, the first of each by the order of a hash."""
-    part = F.when(bucket(F.col(key)) < share, "val").otherwise("fit")
-    order = Window.partitionBy("part").orderBy(F.md5(key), key)
-    out = ids.select(key).distinct().withColumn("part", part).withColumn("__n", F.row_number().over(order))
-    return out.where(F.col("__n") <= F.when(F.col("part") == "val", n_val).otherwise(n_fit)).drop("__n")
+    """ids with part: val below the share of stable buckets, fit above, the first of each by the order of a hash.
+
+    Each task keeps its own first n_val or n_fit, so nothing but these is sorted.
+    """
+    ids = ids.select(key).distinct()
+    low = bucket(F.col(key)) < share
+    first = lambda part, n, which: which.orderBy(F.md5(key), key).limit(n).withColumn("part", F.lit(part))
+    return first("val", n_val, ids.where(low)).unionByName(first("fit", n_fit, ids.where(~low)))
 
 
 def labelled(pairs: DataFrame, truth: DataFrame, on: tuple[str, str] = ("q", "t")) -> DataFrame:
@@ -50,17 +53,17 @@ def out_of_fold(rows: DataFrame, columns: list[str], folds: int = 3, **kw) -> Da
     return out
 
 
-def two_stages(rows: DataFrame, columns: list[str], **kw) -> tuple[PipelineModel, PipelineModel]:
-    """A first model on all rows, and a second on their features and the context of out-of-fold scores."""
-    second = context_base(out_of_fold(rows, columns, **kw).select("q", "t", "label", *columns, "p1"))
-    return train(rows, columns, **kw), train(second, [*columns, *CONTEXT], **kw)
+def two_stages(rows: DataFrame, columns: list[str], extra: bool = False, **kw) -> tuple[PipelineModel, PipelineModel]:
+    """A first model on all rows, and a second on their features and the context of out-of-fold scores, the extra one if wanted."""
+    second = context_features(out_of_fold(rows, columns, **kw).select("q", "t", "label", *columns, "p1"), extra)
+    return train(rows, columns, **kw), train(second, [*columns, *CONTEXT, *(EXTRA if extra else [])], **kw)
 
 
-def score_pairs(models: tuple[PipelineModel, PipelineModel | None], rows: DataFrame) -> DataFrame:
-    """(s1_id, cand_id, prob) by the first stage, or by both."""
+def score_pairs(models: tuple[PipelineModel, PipelineModel | None], rows: DataFrame, extra: bool = False) -> DataFrame:
+    """(s1_id, cand_id, prob) by the first stage, or by both; extra as in training."""
     first = score(models[0], rows)
     if models[1] is not None:
-        first = score(models[1], context_base(first), "p2").withColumn("p1", F.col("p2"))
+        first = score(models[1], context_features(first, extra), "p2").withColumn("p1", F.col("p2"))
     return first.select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), F.col("p1").alias("prob"))
 
 

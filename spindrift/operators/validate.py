@@ -1,4 +1,4 @@
-"""Checks of a result file, as a table of (rule, severity, n, examples)."""
+"""Checks of result files, as a table of (rule, severity, n, example): example names up to five cases, in order."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXAMPLES = 5
-ERRORS = ("comma_instead_of_tab", "header", "row_without_tab", "duplicate_row", "repeated_id", "self_match", "bad_prefix", "unknown_id", "missing_row", "unexpected_row", "not_utf8", "empty_file")
+ERRORS = ("comma_instead_of_tab", "header", "row_without_tab", "duplicate_row", "repeated_id", "self_match", "bad_prefix", "unknown_id", "missing_row", "unexpected_row", "not_utf8", "empty_file", "missing_file")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def validate_lines(lines: DataFrame, required: DataFrame, header: tuple[str, str
     found = [
         ("comma_instead_of_tab", "error", first.where((F.instr("line", "\t") == 0) & (F.instr("line", ",") > 0)).select(F.col("line").alias("x"))),
         ("header", "error", first.where((F.trim("line") != expected) & ~((F.instr("line", "\t") == 0) & (F.instr("line", ",") > 0))).select(F.col("line").alias("x"))),
-        ("not_utf8", "error", lines.where(F.instr("line", "�") > 0).select(F.col("line").alias("x"))),
+        ("not_utf8", "error", lines.where((F.instr("line", "�") > 0) | ~F.is_valid_utf8("line")).select(F.col("line").alias("x"))),
         ("row_without_tab", "error", body.where(F.instr("line", "\t") == 0).select(F.col("line").alias("x"))),
         ("duplicate_row", "error", rows.groupBy("s1_id").count().where("count > 1").select(F.col("s1_id").alias("x"))),
         ("repeated_id", "error", members.groupBy("s1_id", "cand_id").count().where("count > 1").select("s1_id").distinct().select(F.col("s1_id").alias("x"))),
@@ -42,7 +42,10 @@ def validate_lines(lines: DataFrame, required: DataFrame, header: tuple[str, str
         found.append(("not_a_candidate", "warning", members.join(matches_within, ["s1_id", "cand_id"], "left_anti").select(F.col("s1_id").alias("x"))))
     out = None
     for rule, severity, bad in found:
-        one = bad.groupBy().agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("example")).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "example")
+        # A bounded list: the first few of each task, then of these.
+        few = bad.select("x").distinct().orderBy("x").limit(EXAMPLES).agg(F.collect_list("x").alias("few"))
+        few = few.select(F.when(F.size("few") > 0, F.array_join(F.array_sort("few"), ", ")).alias("example"))
+        one = bad.agg(F.count(F.lit(1)).alias("n")).crossJoin(few).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "example")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -53,3 +56,37 @@ def passes(report: DataFrame) -> bool:
 
 def empty_file(lines: DataFrame) -> bool:
     return lines.limit(1).count() == 0
+
+
+def _one(spark: SparkSession, rule: str, severity: str, example: str) -> DataFrame:
+    return spark.createDataFrame([(rule, severity, 1, example)], "rule string, severity string, n long, example string")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def validate_file(spark: SparkSession, path: str, required: DataFrame, header: tuple[str, str], valid_ids: DataFrame | None = None, matches_within: DataFrame | None = None) -> DataFrame:
+    """The report of one file: missing, empty, or that of its lines."""
+    if not exists(spark, path):
+        return _one(spark, "missing_file", "error", path)
+    lines = read_lines(spark, path)
+    if empty_file(lines):
+        return _one(spark, "empty_file", "error", path)
+    return validate_lines(lines, required, header, valid_ids, matches_within)
+
+
+def validate_run(spark: SparkSession, matching: str, required: DataFrame, candidates: str | None = None, valid_ids: DataFrame | None = None) -> DataFrame:
+    """(file, rule, severity, n, example) of a matching file and of a candidate file, which may be missing: then a warning."""
+    within, report = None, None
+    if candidates is not None:
+        if exists(spark, candidates):
+            from spindrift.sources.tables import exploded, read_id_lists
+
+            report = validate_file(spark, candidates, required, ("source1_entity_id", "candidate_entity_ids"), valid_ids).withColumn("file", F.lit("candidates"))
+            within = exploded(read_id_lists(spark, candidates))
+        else:
+            report = _one(spark, "missing_file", "warning", candidates).withColumn("file", F.lit("candidates"))
+    own = validate_file(spark, matching, required, ("source1_entity_id", "matched_entity_ids"), valid_ids, within).withColumn("file", F.lit("matches"))
+    return (own if report is None else own.unionByName(report)).select("file", "rule", "severity", "n", "example")

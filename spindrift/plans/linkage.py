@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
-from spindrift.operators import blocking, channels, context, decide, features, keys, metrics, validate
+from spindrift.operators import blocking, channels, context, decide, features, keys, metrics, model, validate
 from spindrift.operators.decide import Rule
 from spindrift.operators.model import formula
 from spindrift.sources import sinks, tables
+from spindrift.sources.scratch import materialize
 
 WEIGHTS = {"blocking_score": 0.15, "name_jaccard": 2.0, "addr_jaccard": 2.0, "name_exact": 3.0, "phon_exact": 1.0}
 OFFSET = -4.0
+#: The same for the features of the second generation.
+PAIR_WEIGHTS = {"r_name_tset": 0.02, "r_addr_tset": 0.03, "name_word_jac": 2.0, "addr_word_jac": 2.0, "c4_keys": 0.5, "n_channels": 0.25}
+PAIR_OFFSET = -6.0
 THRESH, FALLBACK, EXPF = Rule("thresh", thr=0.5, top_n=4), Rule("fallback", thr=0.6, lo=0.05, top_n=5), Rule("expf", r=0.9, s=1.0, floor=0.05)
 
 
 class Run:
-    """The intermediate frames of one run, each made when first asked for."""
+    """The intermediate frames of one run, each made when first asked for. What several others read is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -32,30 +36,45 @@ class Run:
             self.made[name] = make()
         return self.made[name]
 
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return self._once(name, lambda: materialize(make()))
+
     records = property(lambda s: s._once("records", lambda: tables.from_documents(s.documents)))
     normal = property(lambda s: s._once("normal", lambda: keys.normalized(s.records)))
     forms = property(lambda s: s._once("forms", lambda: channels.linked_forms(s.records)))
+    stored_forms = property(lambda s: s._stored("stored_forms", lambda: s.forms))
+    tokens = property(lambda s: s._stored("tokens", lambda: features.record_tokens(s.normal)))
     universe = property(lambda s: s._once("universe", lambda: s.records.where("source = 1").select(F.col("entity_id").alias("s1_id"), "country")))
     truth = property(lambda s: s._once("truth", lambda: tables.truth_from_documents(s.documents)))
     keys = property(lambda s: s._once("keys", lambda: keys.blocking_keys(s.normal)))
+    stored_keys = property(lambda s: s._stored("stored_keys", lambda: s.keys))
     freq = property(lambda s: s._once("freq", lambda: keys.key_freq(s.keys)))
-    candidates = property(lambda s: s._once("candidates", lambda: blocking.best(blocking.scored(s.probe, s.keys))))
-    token_features = property(lambda s: s._once("token_features", lambda: features.token_features(s.candidates, s.normal)))
-    scores = property(lambda s: s._once("scores", lambda: formula(s.token_features, WEIGHTS, OFFSET)))
+    candidates = property(lambda s: s._once("candidates", lambda: blocking.best(blocking.scored(s.probe, s.stored_keys))))
+    stored_candidates = property(lambda s: s._stored("stored_candidates", lambda: s.candidates))
+    token_features = property(lambda s: s._once("token_features", lambda: features.token_features(s.stored_candidates, s.tokens)))
+    scores = property(lambda s: s._stored("scores", lambda: formula(s.token_features, WEIGHTS, OFFSET)))
+    pair_features = property(lambda s: s._stored("pair_features", lambda: features.pair_features(s.stored_union, s.stored_forms)))
+    stored_union = property(lambda s: s._stored("stored_union", lambda: s.union()))
 
     @property
     def probe(self) -> DataFrame:
-        return self._once("probe", lambda: keys.probe_table(self.keys, self.freq, self.records.where("source > 1").count()))
+        return self._once("probe", lambda: keys.probe_table(self.stored_keys, keys.key_freq(self.stored_keys), self.records.where("source > 1").count()))
 
-    def union(self) -> DataFrame:
-        return self._once("union", lambda: channels.union(channels.channels(self.forms)))
+    def union(self, c1: DataFrame | None = None) -> DataFrame:
+        return channels.union(channels.channels(self.stored_forms), c1)
 
     def channel(self, field: str, name: str, pad: bool) -> DataFrame:
-        return channels.tfidf_topk(self.forms, field, name, pad)
+        return channels.tfidf_topk(self.stored_forms, field, name, pad)
 
     def chosen(self, rule: Rule) -> DataFrame:
         return decide.decide(self.scores, rule)
 
+    def rivals(self) -> DataFrame:
+        """Pair features with p1, a score by the formula."""
+        x = self.pair_features
+        p1 = formula(x.withColumnsRenamed({"q": "s1_id", "t": "cand_id"}), PAIR_WEIGHTS, PAIR_OFFSET).withColumnsRenamed({"s1_id": "q", "cand_id": "t", "prob": "p1"})
+        return p1.join(x, ["q", "t"])
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -98,6 +117,23 @@ def phonetic_key(r: Run) -> DataFrame:
     return own.join(r.forms.select("entity_id", "phon", "phonc"), "entity_id")
 
 
+@query
+def normalize_any_script(r: Run) -> DataFrame:
+    """The forms of normalize_name by way of transliteration, as whole runs make them."""
+    normal, name = keys.normalized(r.records, X.transliterate), X.trade_name(F.col("business_name"), X.transliterate)
+    return normal.select("entity_id", "name_norm", name.alias("trade_name"), X.sorted_tokens(name).alias("sorted_name"))
+
+
+@query
+def entity_split(r: Run) -> DataFrame:
+    return model.split(r.universe, 40, 100)
+
+
+@query
+def labelled_pairs(r: Run) -> DataFrame:
+    return model.labelled(r.stored_candidates.select("s1_id", "cand_id"), r.truth, ("s1_id", "cand_id"))
+
+
 @query
 def stable_bucket_split(r: Run) -> DataFrame:
     b = X.bucket(F.col("s1_id"))
@@ -116,7 +152,7 @@ def key_freq(r: Run) -> DataFrame:
 
 @query
 def pruned_keys(r: Run) -> DataFrame:
-    return keys.prune(r.keys, r.freq, ceiling=50).groupBy("source", "key_type").agg(F.count(F.lit(1)).alias("n"))
+    return keys.prune(r.keys, r.freq).groupBy("source", "key_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -131,8 +167,7 @@ def candidates_cheap(r: Run) -> DataFrame:
 
 @query
 def candidates_escalated(r: Run) -> DataFrame:
-    # The share that the query's SQL has; the operator and the jobs take every starved record.
-    return blocking.escalated(r.probe, r.keys, r.universe, percent=25)
+    return blocking.escalated(r.probe, r.stored_keys, r.universe)
 
 
 @query
@@ -142,7 +177,7 @@ def candidate_lists(r: Run) -> DataFrame:
 
 @query
 def exact_channel(r: Run) -> DataFrame:
-    return channels.exact_channel(r.forms)
+    return channels.exact_channel(r.stored_forms)
 
 
 @query
@@ -165,6 +200,12 @@ def channel_union(r: Run) -> DataFrame:
     return r.union()
 
 
+@query
+def channel_union_keys(r: Run) -> DataFrame:
+    """The union with the key candidates, up to a hundred a record, as a fifth channel."""
+    return r.union(blocking.best(blocking.scored(r.probe, r.stored_keys), 100))
+
+
 @query
 def token_features(r: Run) -> DataFrame:
     return _rounded(r.token_features)
@@ -172,18 +213,23 @@ def token_features(r: Run) -> DataFrame:
 
 @query
 def word_features(r: Run) -> DataFrame:
-    pairs = r.candidates.select(F.col("s1_id").alias("q"), F.col("cand_id").alias("t"))
-    return _rounded(features.word_features(pairs, r.forms))
+    pairs = r.stored_candidates.select(F.col("s1_id").alias("q"), F.col("cand_id").alias("t"))
+    return _rounded(features.word_features(pairs, r.stored_forms))
 
 
 @query
 def fuzzy_features(r: Run) -> DataFrame:
-    return features.fuzzy_features(r.candidates, r.normal)
+    return features.fuzzy_features(r.stored_candidates, r.tokens)
 
 
 @query
 def pair_features(r: Run) -> DataFrame:
-    return _rounded(features.pair_features(r.union(), r.forms))
+    return _rounded(features.pair_features(r.stored_union, r.stored_forms))
+
+
+@query
+def key_features(r: Run) -> DataFrame:
+    return _rounded(features.key_features(r.stored_candidates, r.tokens))
 
 
 @query
@@ -194,8 +240,7 @@ def context_base(r: Run) -> DataFrame:
 
 @query
 def context_extra(r: Run) -> DataFrame:
-    f = r.token_features.select("s1_id", "cand_id", "cand_source", F.round("addr_jaccard", 6).alias("r_addr_tset"), F.round("name_jaccard", 6).alias("r_name_tset"), F.round("addr_overlap", 6).alias("addr_word_ovl"), F.round("phon_jaccard", 6).alias("r_phon"))
-    scored = r.scores.join(f, ["s1_id", "cand_id"]).withColumnsRenamed({"s1_id": "q", "cand_id": "t", "prob": "p1"})
+    scored = r.rivals().select("q", "t", "p1", "cand_source", "r_addr_tset", "r_name_tset", "addr_word_ovl", "r_phon")
     return _rounded(context.context_extra(scored))
 
 
@@ -233,7 +278,8 @@ def macro_f05(r: Run) -> DataFrame:
 def rule_grid(r: Run) -> DataFrame:
     rules = [Rule("thresh", thr=t, top_n=n, exclusive=e) for t in (0.3, 0.5, 0.8) for n in (None, 2) for e in (False, True)]
     out = decide.grid(r.scores, r.truth, r.universe, rules)
-    return out.withColumn("config", F.regexp_extract("config", r"thr=([0-9.]+)", 1)).groupBy("config").agg(F.max("f05").alias("best_f05"))
+    part = lambda name: F.regexp_extract("config", rf"{name}=([^,)]+)", 1).alias(name)
+    return out.select(part("thr"), part("top_n"), part("exclusive"), "f05", "precision", "recall")
 
 
 @query
@@ -243,17 +289,17 @@ def diagnose_empties(r: Run) -> DataFrame:
 
 @query
 def retrieval_report(r: Run) -> DataFrame:
-    return metrics.retrieval_report(r.universe, r.truth, r.candidates)
+    return metrics.retrieval_report(r.universe, r.truth, r.stored_candidates)
 
 
 @query
 def blocking_report(r: Run) -> DataFrame:
-    return metrics.blocking_report(r.universe, r.truth, r.candidates)
+    return metrics.blocking_report(r.universe, r.truth, r.stored_candidates)
 
 
 @query
 def leave_one_out(r: Run) -> DataFrame:
-    return metrics.channel_recall(r.truth, r.union(), r.universe)
+    return metrics.channel_recall(r.truth, r.stored_union, r.universe)
 
 
 @query
@@ -279,7 +325,7 @@ def hybrid_merge(r: Run) -> DataFrame:
 
 @query
 def merge_shards(r: Run) -> DataFrame:
-    lists = sinks.id_lists(r.candidates, r.universe)
+    lists = sinks.id_lists(r.stored_candidates, r.universe)
     b = X.bucket(F.col("s1_id"))
     return sinks.shard_report(lists.where(b < 60).unionByName(lists.where(b.between(50, 89))), r.universe)
 
@@ -289,6 +335,41 @@ def patch_results(r: Run) -> DataFrame:
     return decide.patch(r.chosen(FALLBACK), r.scores, _conflicted(r), Rule("thresh", thr=0.3))
 
 
+@query
+def apply_rule(r: Run) -> DataFrame:
+    """Match lists of a rule on scores of which each target's best record keeps it."""
+    chosen = decide.decide(decide.one_owner(r.scores), EXPF)
+    return sinks.id_lists(chosen.withColumn("rank", -F.col("prob")), r.universe)
+
+
+@query
+def patch_candidate_rows(r: Run) -> DataFrame:
+    """Candidate lists with those of conflicted records made anew, longer."""
+    conflicted = _conflicted(r)
+    wider = blocking.best(blocking.scored(r.probe.join(conflicted, "s1_id", "left_semi"), r.stored_keys), 40)
+    return sinks.replace_rows(sinks.id_lists(r.stored_candidates, r.universe), sinks.id_lists(wider, conflicted))
+
+
+@query
+def patch_changes(r: Run) -> DataFrame:
+    old, listed = r.chosen(FALLBACK), _conflicted(r)
+    return decide.patch_report(old, decide.patch(old, r.scores, listed, Rule("thresh", thr=0.3)), listed)
+
+
+@query
+def hybrid_report(r: Run) -> DataFrame:
+    """Where the rows of a merge of a partial new run and a partial old one come from; those that neither has are missing."""
+    b = X.bucket(F.col("s1_id"))
+    new = sinks.id_lists(r.chosen(THRESH).withColumn("rank", -F.col("prob")), r.universe.where(b < 40))
+    old = sinks.id_lists(r.chosen(FALLBACK).withColumn("rank", -F.col("prob")), r.universe.where(b >= 50))
+    return sinks.overlay_report(sinks.overlay(r.universe, new, old))
+
+
+@query
+def score_dump(r: Run) -> DataFrame:
+    return sinks.printed(r.scores, 0.05)
+
+
 @query
 def validate_rules(r: Run) -> DataFrame:
     b = X.bucket(F.col("s1_id"))
@@ -297,6 +378,6 @@ def validate_rules(r: Run) -> DataFrame:
     body = lists.where(b != 5).select(F.explode(F.when(b == 2, F.array(line, line)).otherwise(F.array(line))).alias("line"))
     head = r.spark.createDataFrame([("source1_entity_id\tmatched_entity_ids",)], "line string")
     lines = head.select(F.lit(0).alias("line_no"), "line").unionByName(body.select(F.lit(1).alias("line_no"), "line"))
-    within = r.candidates.where("rank <= 2").select("s1_id", "cand_id")
+    within = r.stored_candidates.where("rank <= 2").select("s1_id", "cand_id")
     valid = r.records.where("source > 1").select(F.col("entity_id").alias("cand_id"))
     return validate.validate_lines(lines, r.universe, ("source1_entity_id", "matched_entity_ids"), valid, within)

@@ -109,6 +109,70 @@ def _tfidf(channel: str, field: str, pad: bool) -> str:
 
 _EXACT = [("name", "[name]"), ("sorted", "[sorted]"), ("phon", "[phonc]"), ("house", "house"), ("postal", "postal")]
 
+
+
+def _expf(name: str, scores: str) -> str:
+    """The choice by expected F0.5, by running sums."""
+    return f"""{name}_able AS (SELECT *, row_number() OVER o AS m, sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id DESC ROWS UNBOUNDED PRECEDING) AS run, sum(prob) OVER (PARTITION BY s1_id) / 0.9 AS total,
+  CASE WHEN max(prob) OVER (PARTITION BY s1_id) >= 1 THEN 0 ELSE exp(sum(CASE WHEN prob < 1 THEN ln(1 - prob) END) OVER (PARTITION BY s1_id)) END AS none
+  FROM {scores} WHERE prob >= 0.05 WINDOW o AS (PARTITION BY s1_id ORDER BY prob DESC, cand_id DESC)),
+{name}_best AS (SELECT s1_id, CASE WHEN max(1.25 * run / (0.25 * total + m)) > any_value(none) THEN arg_min(m, (-(1.25 * run / (0.25 * total + m)), m)) ELSE 0 END AS best FROM {name}_able GROUP BY s1_id),
+{name} AS (SELECT s1_id, cand_id, prob FROM {name}_able JOIN {name}_best USING (s1_id) WHERE m <= best)"""
+
+
+def _lcs(a: str, b: str) -> str:
+    """The longest common subsequence: a row of bits, one a letter of the shorter string, in two words of 120, advanced by each letter of the longer."""
+    x, y = f"CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END", f"CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END"
+    return f"list_transform([{{'x': {x}, 'y': {y}}}], lambda s: {_steps('s.x', _letters('s.x', 's.y'))})[1]"
+
+
+def _bits(x: str, low: int) -> str:
+    return f"list_reduce(list_transform(string_split({x}, ''), lambda d, i: CASE WHEN d = c AND i > {low} AND i <= {low + 120} THEN 1::HUGEINT << (i - {low + 1})::HUGEINT ELSE 0::HUGEINT END), lambda m, n: m | n)"
+
+
+def _letters(x: str, y: str) -> str:
+    """For each letter of y the places in x that hold it."""
+    return f"list_transform(string_split({y}, ''), lambda c: {{'l': {_bits(x, 0)}, 'h': {_bits(x, 120)}}})"
+
+
+def _steps(x: str, letters: str) -> str:
+    full = lambda n: f"((1::HUGEINT << ({n})::HUGEINT) - 1::HUGEINT)"
+    low, high = f"least(length({x}), 120)", f"greatest(length({x}) - 120, 0)"
+    one, two = full(low), full(high)
+    carry = f"((r.l + (r.l & m.l)) >> ({low})::HUGEINT)"
+    step = f"lambda r, m: {{'l': ((r.l + (r.l & m.l)) & {one}) | (r.l - (r.l & m.l)), 'h': ((r.h + (r.h & m.h) + {carry}) & {two}) | (r.h - (r.h & m.h))}}"
+    return f"CASE WHEN {x} = '' THEN 0 ELSE list_transform([list_reduce({letters}, {step}, {{'l': {one}, 'h': {two}}})], lambda r: length({x}) - bit_count(r.l) - bit_count(r.h))[1] END"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0 * {_lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+def token_sort(a: str, b: str) -> str:
+    ordered = lambda x: f"array_to_string(list_sort({tokens(x)}), ' ')"
+    return f"list_transform([{{'a': {ordered(a)}, 'b': {ordered(b)}}}], lambda o: {ratio('o.a', 'o.b')})[1]"
+
+
+def token_set(a: str, b: str) -> str:
+    some, rest = "array_to_string(list_sort(z.s), ' ')", lambda k: f"array_to_string(list_sort(list_filter(z.{k}, lambda w: NOT list_contains(z.s, w))), ' ')"
+    whole = lambda k: f"trim({some} || ' ' || {rest(k)})"
+    best = f"greatest({ratio('v.a', 'v.b')}, CASE WHEN v.s = '' THEN 0.0 ELSE {ratio('v.s', 'v.a')} END, CASE WHEN v.s = '' THEN 0.0 ELSE {ratio('v.s', 'v.b')} END)"
+    return f"""list_transform([{{'a': list_distinct({tokens(a)}), 'b': list_distinct({tokens(b)}), 's': list_intersect(list_distinct({tokens(a)}), list_distinct({tokens(b)}))}}], lambda z:
+  CASE WHEN len(z.a) = 0 OR len(z.b) = 0 THEN 0.0 WHEN len(z.s) > 0 AND (len(z.s) = len(z.a) OR len(z.s) = len(z.b)) THEN 100.0
+  ELSE list_transform([{{'s': {some}, 'a': {whole('a')}, 'b': {whole('b')}}}], lambda v: {best})[1] END)[1]"""
+
+
+def partial(a: str, b: str) -> str:
+    """All windows of the longer string that are as long as the shorter, and all shorter ones at its two ends; both ways if they are of one length."""
+    back = lambda x: f"reverse({x})"
+    window = f"list_max(list_transform(range(1, length(w.y) - length(w.x) + 2), lambda k: {_steps('w.x', 'w.m[k:k + length(w.x) - 1]')}))"
+    ends = lambda x, m: f"list_max(list_transform(range(1, length(w.x)), lambda k: 200.0 * ({_steps(x, f'{m}[1:k]')}) / (length(w.x) + k)))"
+    one = lambda x, y: f"list_transform([{{'x': {x}, 'y': {y}, 'z': {back(x)}, 'm': {_letters(x, y)}, 'n': {_letters(back(x), back(y))}}}], lambda w: greatest(100.0 * {window} / length(w.x), coalesce({ends('w.x', 'w.m')}, 0.0), coalesce({ends('w.z', 'w.n')}, 0.0)))[1]"
+    x, y = f"CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END", f"CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END"
+    return f"""list_transform([{{'x': {x}, 'y': {y}}}], lambda s: CASE WHEN s.x = '' THEN CASE WHEN s.y = '' THEN 100.0 ELSE 0.0 END WHEN contains(s.y, s.x) THEN 100.0
+  WHEN length(s.x) = length(s.y) THEN greatest({one('s.x', 's.y')}, {one('s.y', 's.x')}) ELSE {one('s.x', 's.y')} END)[1]"""
+
+
 CTES = f"""
 rec AS (SELECT 1 + doc_id % 3 AS source, 'S' || (1 + doc_id % 3) || '-' || lpad(doc_id::VARCHAR, 8, '0') AS entity_id, substr(text, 1, 80) AS business_name,
   CASE WHEN length(text) > 120 THEN substr(text, length(text) - 119) ELSE text END AS business_address, lang AS country FROM documents),
@@ -134,7 +198,7 @@ probe AS (SELECT s1_id, country, key_type, key_value, {_PRIOR} * (ln(greatest(2,
 {_hits("cheap", 10, 2500)},
 {_hits("dear", 25, 20000)},
 candidates AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM cheap QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) <= 25),
-starved AS (SELECT s1_id FROM universe LEFT JOIN (SELECT s1_id, count(*) AS n FROM cheap GROUP BY 1) USING (s1_id) WHERE coalesce(n, 0) < 8 AND {bucket("s1_id")} < 25),
+starved AS (SELECT s1_id FROM universe LEFT JOIN (SELECT s1_id, count(*) AS n FROM cheap GROUP BY 1) USING (s1_id) WHERE coalesce(n, 0) < 8),
 again AS (SELECT * FROM dear WHERE s1_id IN (SELECT s1_id FROM starved)),
 tier AS (SELECT * FROM cheap WHERE s1_id NOT IN (SELECT s1_id FROM again) UNION ALL SELECT * FROM again),
 sizes AS (SELECT country, count(*) AS n FROM rec WHERE source > 1 GROUP BY 1),
@@ -147,6 +211,10 @@ c4 AS (SELECT q.entity_id AS q, t.entity_id AS t, count(DISTINCT q.field)::INT A
 evidence AS (SELECT q, t, 'c2' AS channel, cos AS score, rank FROM c2 UNION ALL SELECT q, t, 'c2b', cos, rank FROM c2b UNION ALL SELECT q, t, 'c3', cos, rank FROM c3 UNION ALL SELECT q, t, 'c4', c4, 0 FROM c4),
 joined AS (SELECT q, t, {", ".join(f"coalesce(max(score) FILTER (WHERE channel = '{c}'), 0)::DOUBLE AS {c}_cos, coalesce(max(rank) FILTER (WHERE channel = '{c}'), 0)::DOUBLE AS {c}_rank" for c in ("c2", "c2b", "c3"))},
   coalesce(max(score) FILTER (WHERE channel = 'c4'), 0)::DOUBLE AS c4, 0.0::DOUBLE AS c1_score, 0.0::DOUBLE AS c1_rank, count(DISTINCT channel)::DOUBLE AS n_channels FROM evidence GROUP BY q, t),
+c1 AS (SELECT s1_id AS q, cand_id AS t, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM cheap QUALIFY rank <= 100),
+joined_keys AS (SELECT q, t, {", ".join(f"coalesce(max(score) FILTER (WHERE channel = '{c}'), 0)::DOUBLE AS {c}_cos, coalesce(max(rank) FILTER (WHERE channel = '{c}'), 0)::DOUBLE AS {c}_rank" for c in ("c2", "c2b", "c3"))},
+  coalesce(max(score) FILTER (WHERE channel = 'c4'), 0)::DOUBLE AS c4, coalesce(max(score) FILTER (WHERE channel = 'c1'), 0)::DOUBLE AS c1_score, coalesce(max(rank) FILTER (WHERE channel = 'c1'), 0)::DOUBLE AS c1_rank,
+  count(DISTINCT channel)::DOUBLE AS n_channels FROM (SELECT * FROM evidence UNION ALL SELECT q, t, 'c1', score, rank FROM c1) GROUP BY q, t),
 feats AS (SELECT c.s1_id, c.cand_id, c.score AS blocking_score, c.source::DOUBLE AS cand_source, {jaccard("a.nt", "b.nt")} AS name_jaccard, {overlap("a.nt", "b.nt")} AS name_overlap,
   (a.prefix <> '' AND a.prefix = b.prefix)::INT::DOUBLE AS name_prefix, (a.name_norm <> '' AND a.name_norm = b.name_norm)::INT::DOUBLE AS name_exact,
   CASE WHEN greatest(length(a.name_norm), length(b.name_norm)) > 0 THEN least(length(a.name_norm), length(b.name_norm)) / greatest(length(a.name_norm), length(b.name_norm)) ELSE 0.0 END AS len_ratio,
@@ -159,13 +227,10 @@ scores AS (SELECT s1_id, cand_id, round(1 / (1 + exp(-(-4.0 + blocking_score * 0
 ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id DESC) AS rn FROM scores),
 thresh AS (SELECT s1_id, cand_id, prob FROM ranked WHERE prob >= 0.5 AND rn <= 4),
 fallback AS (SELECT s1_id, cand_id, prob FROM ranked WHERE (prob >= 0.6 AND rn <= 5) OR (rn = 1 AND prob < 0.6 AND prob >= 0.05)),
-able AS (SELECT *, row_number() OVER o AS m, sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id DESC ROWS UNBOUNDED PRECEDING) AS run, sum(prob) OVER (PARTITION BY s1_id) / 0.9 AS total,
-  CASE WHEN max(prob) OVER (PARTITION BY s1_id) >= 1 THEN 0 ELSE exp(sum(CASE WHEN prob < 1 THEN ln(1 - prob) END) OVER (PARTITION BY s1_id)) END AS none
-  FROM scores WHERE prob >= 0.05 WINDOW o AS (PARTITION BY s1_id ORDER BY prob DESC, cand_id DESC)),
-expected AS (SELECT s1_id, CASE WHEN max(1.25 * run / (0.25 * total + m)) > any_value(none) THEN arg_min(m, (-(1.25 * run / (0.25 * total + m)), m)) ELSE 0 END AS best FROM able GROUP BY s1_id),
-expf AS (SELECT s1_id, cand_id, prob FROM able JOIN expected USING (s1_id) WHERE m <= best),
-owned AS (SELECT * FROM fallback QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) = 1),
 owned_first AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) = 1),
+{_expf("expf", "scores")},
+{_expf("applied", "owned_first")},
+owned AS (SELECT * FROM fallback QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) = 1),
 disputed AS (SELECT cand_id, count(*) AS n FROM fallback GROUP BY 1 HAVING count(*) > 1),
 conflicted AS (SELECT DISTINCT s1_id FROM (SELECT s1_id FROM fallback WHERE cand_id IN (SELECT cand_id FROM disputed) UNION ALL SELECT s1_id FROM universe WHERE s1_id NOT IN (SELECT s1_id FROM fallback))),
 lists AS (SELECT u.s1_id, coalesce(string_agg(cand_id, ',' ORDER BY rank, cand_id), '') AS ids FROM universe u LEFT JOIN candidates c USING (s1_id) GROUP BY 1)
@@ -193,16 +258,40 @@ def _round(names: str) -> str:
     return ", ".join(f"round({x}, 6) AS {x}" for x in names.split())
 
 
+_TOKEN_FEATURES = "blocking_score cand_source name_jaccard name_overlap name_prefix name_exact len_ratio addr_jaccard addr_overlap digit_jaccard s1_addr_empty cand_addr_empty sorted_exact phon_exact phon_jaccard postal_exact shared_name shared_addr"
+_FUZZY_NAMES = ("name_ratio", "name_token_sort", "name_token_set", "name_partial", "addr_ratio")
 _GRID = " UNION ALL ".join(
-    f"SELECT {t} AS thr, avg({_F}) AS f FROM (SELECT u.s1_id, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM universe u LEFT JOIN (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY 1) USING (s1_id) LEFT JOIN (SELECT p.s1_id, count(*) AS n_pred, count(t.s1_id) AS tp FROM (SELECT s1_id, cand_id, prob FROM ranked WHERE prob >= {t} AND rn <= {n} {'QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) = 1' if e else ''}) p LEFT JOIN truth t USING (s1_id, cand_id) GROUP BY 1) USING (s1_id))"
+    f"SELECT '{t}' AS thr, '{n}' AS top_n, '{e}' AS exclusive, round(avg({_F}), 6) AS f05, coalesce(round(avg(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END) FILTER (WHERE n_true > 0 OR n_pred > 0), 6), 0.0) AS precision, coalesce(round(avg(CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END) FILTER (WHERE n_true > 0 OR n_pred > 0), 6), 0.0) AS recall FROM (SELECT u.s1_id, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM universe u LEFT JOIN (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY 1) USING (s1_id) LEFT JOIN (SELECT p.s1_id, count(*) AS n_pred, count(t.s1_id) AS tp FROM (SELECT s1_id, cand_id, prob FROM ranked WHERE prob >= {t} AND rn <= {n or 1000} {'QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) = 1' if e else ''}) p LEFT JOIN truth t USING (s1_id, cand_id) GROUP BY 1) USING (s1_id))"
     for t in (0.3, 0.5, 0.8)
-    for n in (1000, 2)
+    for n in (None, 2)
     for e in (False, True)
 )
 _REACH = "EXISTS (FROM truth t JOIN scores s USING (s1_id, cand_id) WHERE t.s1_id = per.s1_id)"
 _B = bucket("s1_id")
 _WORDS = lambda p, f: f"list_filter(list_distinct({tokens(f'{p}.{f}')}), lambda w: list_contains(kn.{f}, w))"
 _W = lambda f: (f"qw_{f}", f"tw_{f}")
+_KNOWN = f"known AS (SELECT country, list_distinct(flatten(list({tokens('name')}))) AS name, list_distinct(flatten(list({tokens('addr')}))) AS addr FROM forms WHERE source > 1 GROUP BY 1)"
+
+
+def _worded(pairs: str, q: str, t: str) -> str:
+    return f"worded AS (SELECT c.{q} AS q, c.{t} AS t, {_WORDS('a', 'name')} AS qw_name, {_WORDS('b', 'name')} AS tw_name, {_WORDS('a', 'addr')} AS qw_addr, {_WORDS('b', 'addr')} AS tw_addr FROM {pairs} c JOIN forms a ON a.entity_id = c.{q} JOIN forms b ON b.entity_id = c.{t} JOIN known kn ON kn.country = a.country)"
+
+
+_WORDED = ", ".join(f"round({jaccard(*_W(f))}, 6) AS {f}_word_jac, round({overlap(*_W(f))}, 6) AS {f}_word_ovl, len(list_intersect({', '.join(_W(f))}))::DOUBLE AS n_{f}_words" for f in ("name", "addr"))
+_NAMES, _ADDRS = ("a.name_norm", "b.name_norm"), ("a.addr_norm", "b.addr_norm")
+_KEY_FUZZY = f"""round({ratio(*_NAMES)} / 100, 6) AS name_ratio, round({token_sort(*_NAMES)} / 100, 6) AS name_token_sort, round({token_set(*_NAMES)} / 100, 6) AS name_token_set,
+  round({partial(*_NAMES)} / 100, 6) AS name_partial, CASE WHEN a.addr_norm = '' AND b.addr_norm = '' THEN 0.0 ELSE round({ratio(*_ADDRS)} / 100, 6) END AS addr_ratio"""
+_FUZZY = f"fuzzy AS (SELECT c.s1_id, c.cand_id, {_KEY_FUZZY} FROM candidates c JOIN normal a ON a.entity_id = c.s1_id JOIN normal b ON b.entity_id = c.cand_id)"
+_PAIRS = (
+    _KNOWN, _worded("joined", "q", "t"), f"words AS (SELECT q, t, {_WORDED} FROM worded)",
+    f"""pairs AS (SELECT j.q, j.t, round({ratio('a.name', 'b.name')}, 6) AS r_name, round({token_sort('a.name', 'b.name')}, 6) AS r_name_tsort, round({token_set('a.name', 'b.name')}, 6) AS r_name_tset, round({partial('a.name', 'b.name')}, 6) AS r_name_part,
+  round({token_set('a.phon', 'b.phon')}, 6) AS r_phon, round({ratio('a.addr', 'b.addr')}, 6) AS r_addr, round({token_set('a.addr', 'b.addr')}, 6) AS r_addr_tset,
+  w.* EXCLUDE (q, t), round(CASE WHEN greatest(length(a.name), length(b.name)) > 0 THEN least(length(a.name), length(b.name)) / greatest(length(a.name), length(b.name)) ELSE 0.0 END, 6) AS len_ratio, b.source::DOUBLE AS cand_source,
+  (a.name <> '' AND a.name = b.name)::INT::DOUBLE AS name_exact, (a.sorted <> '' AND a.sorted = b.sorted)::INT::DOUBLE AS sorted_exact, (a.phonc <> '' AND a.phonc = b.phonc)::INT::DOUBLE AS phon_exact,
+  (len(list_intersect(a.house, b.house)) > 0)::INT::DOUBLE AS house_match, (len(list_intersect(a.postal, b.postal)) > 0)::INT::DOUBLE AS postal_match, (a.addr = '')::INT::DOUBLE AS s1_addr_empty, (b.addr = '')::INT::DOUBLE AS cand_addr_empty,
+  {_round('c2_cos c2_rank c2b_cos c2b_rank c3_cos c3_rank')}, j.c4 AS c4_keys, c1_score, c1_rank, n_channels
+  FROM joined j JOIN forms a ON a.entity_id = j.q JOIN forms b ON b.entity_id = j.t JOIN words w ON w.q = j.q AND w.t = j.t)""",
+)
 _LINE = f"s1_id || CASE WHEN {_B} = 1 THEN ' ' ELSE chr(9) END || CASE {_B} WHEN 3 THEN 'S9-x,' WHEN 4 THEN 'S1-00000003,' WHEN 6 THEN 'S2-1,S2-1,' ELSE '' END || ids"
 _FOUND = {
     "comma_instead_of_tab": "SELECT '' AS x WHERE false", "header": "SELECT '' AS x WHERE false", "not_utf8": "SELECT '' AS x WHERE false",
@@ -220,9 +309,28 @@ ORACLES = {
     "digit_postal_house_tokens": f"SELECT doc_id, array_to_string(list_sort({digits('text')}), ' ') AS digits, array_to_string(list_sort({postal('text')}), ' ') AS postal, array_to_string(list_sort({house(fold('text'))}), ' ') AS house FROM documents",
     "phonetic_key": _sql("SELECT n.entity_id, name_phon, array_to_string(list_sort(pk), ' ') AS phon_tokens, prefix, phon, phonc FROM normal n JOIN forms f USING (entity_id)"),
     "stable_bucket_split": _sql(f"SELECT s1_id, {_B}::INT AS bucket, CASE WHEN {_B} < 15 THEN 'val' ELSE 'fit' END AS part FROM universe"),
+    "normalize_any_script": _sql("SELECT n.entity_id, n.name_norm, f.name AS trade_name, f.sorted AS sorted_name FROM normal n JOIN forms f USING (entity_id)"),
+    "entity_split": _sql(f"SELECT s1_id, part FROM (SELECT s1_id, CASE WHEN {_B} < 15 THEN 'val' ELSE 'fit' END AS part FROM universe) QUALIFY row_number() OVER (PARTITION BY part ORDER BY md5(s1_id), s1_id) <= CASE part WHEN 'val' THEN 40 ELSE 100 END"),
+    "labelled_pairs": _sql("SELECT c.s1_id, c.cand_id, (t.s1_id IS NOT NULL)::INT::DOUBLE AS label FROM candidates c LEFT JOIN truth t USING (s1_id, cand_id)"),
+    "channel_union_keys": _sql("SELECT * FROM joined_keys"),
+    "apply_rule": _sql("SELECT * FROM mine", _lists("mine", "applied", "true")),
+    "patch_candidate_rows": _sql(
+        "SELECT l.s1_id, coalesce(w.ids, l.ids) AS ids, w.ids IS NOT NULL AS replaced FROM lists l LEFT JOIN wide w USING (s1_id)",
+        """wide AS (SELECT c.s1_id, coalesce(string_agg(k.cand_id, ',' ORDER BY k.score DESC, k.cand_id), '') AS ids FROM conflicted c
+  LEFT JOIN (SELECT * FROM cheap QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) <= 40) k USING (s1_id) GROUP BY 1)""",
+    ),
+    "patch_changes": _sql(
+        """SELECT count(*) FILTER (WHERE a <> b) AS changed, coalesce(sum(len(list_filter(a, lambda x: NOT list_contains(b, x)))), 0)::BIGINT AS removed,
+  coalesce(sum(len(list_filter(b, lambda x: NOT list_contains(a, x)))), 0)::BIGINT AS added, count(*) FILTER (WHERE len(a) = 0 AND len(b) > 0) AS filled
+FROM (SELECT coalesce(o.ids, []) AS a, coalesce(n.ids, []) AS b FROM conflicted c LEFT JOIN (SELECT s1_id, list_sort(list(cand_id)) AS ids FROM fallback GROUP BY 1) o USING (s1_id) LEFT JOIN (SELECT s1_id, list_sort(list(cand_id)) AS ids FROM anew GROUP BY 1) n USING (s1_id))""",
+        """anew AS (SELECT * FROM scores WHERE s1_id IN (SELECT s1_id FROM conflicted) AND prob >= 0.3 AND cand_id NOT IN (SELECT cand_id FROM fallback WHERE s1_id NOT IN (SELECT s1_id FROM conflicted))
+  QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) = 1)""",
+    ),
+    "hybrid_report": _sql(f"SELECT country, CASE WHEN {_B} < 40 THEN 'new' WHEN {_B} >= 50 THEN 'old' ELSE 'missing' END AS origin, count(*) AS n FROM universe GROUP BY ALL"),
+    "score_dump": _sql("SELECT s1_id, cand_id, printf('%.5f', prob) AS prob FROM scores WHERE prob >= 0.05"),
     "blocking_keys": _sql("SELECT source::INT AS source, entity_id, country, key_type, key_value FROM keys"),
     "key_freq": _sql("SELECT * FROM freq"),
-    "pruned_keys": _sql("SELECT k.source::INT AS source, k.key_type, count(*) AS n FROM keys k LEFT JOIN freq f USING (country, key_type, key_value) WHERE k.source = 1 OR df <= 50 GROUP BY ALL"),
+    "pruned_keys": _sql("SELECT k.source::INT AS source, k.key_type, count(*) AS n FROM keys k LEFT JOIN freq f USING (country, key_type, key_value) WHERE k.source = 1 OR df <= 25000 GROUP BY ALL"),
     "probe_table": _sql("SELECT s1_id, country, key_type, key_value, round(w, 6) AS w, rank::INT AS rank, cum_df::BIGINT AS cum_df FROM probe"),
     "candidates_cheap": _sql("SELECT s1_id, cand_id, source::INT AS source, score, rank::INT AS rank FROM candidates"),
     "candidates_escalated": _sql("SELECT s1_id, cand_id, source::INT AS source, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id)::INT AS rank FROM tier QUALIFY rank <= 25"),
@@ -232,27 +340,23 @@ ORACLES = {
     "tfidf_phon_topk": _sql("SELECT * FROM c2b"),
     "tfidf_addr_topk": _sql("SELECT * FROM c3"),
     "channel_union": _sql("SELECT * FROM joined"),
-    "token_features": _sql(
-        "SELECT s1_id, cand_id, "
-        + _round("blocking_score cand_source name_jaccard name_overlap name_prefix name_exact len_ratio addr_jaccard addr_overlap digit_jaccard s1_addr_empty cand_addr_empty sorted_exact phon_exact phon_jaccard postal_exact shared_name shared_addr")
-        + " FROM feats"
-    ),
-    "word_features": _sql(
-        "SELECT q, t, " + ", ".join(f"round({jaccard(*_W(f))}, 6) AS {f}_word_jac, round({overlap(*_W(f))}, 6) AS {f}_word_ovl, len(list_intersect({', '.join(_W(f))}))::DOUBLE AS n_{f}_words" for f in ("name", "addr")) + " FROM worded",
-        f"known AS (SELECT country, list_distinct(flatten(list({tokens('name')}))) AS name, list_distinct(flatten(list({tokens('addr')}))) AS addr FROM forms WHERE source > 1 GROUP BY 1)",
-        f"worded AS (SELECT c.s1_id AS q, c.cand_id AS t, {_WORDS('a', 'name')} AS qw_name, {_WORDS('b', 'name')} AS tw_name, {_WORDS('a', 'addr')} AS qw_addr, {_WORDS('b', 'addr')} AS tw_addr FROM candidates c JOIN forms a ON a.entity_id = c.s1_id JOIN forms b ON b.entity_id = c.cand_id JOIN known kn ON kn.country = a.country)",
-    ),
+    "token_features": _sql(f"SELECT s1_id, cand_id, {_round(_TOKEN_FEATURES)} FROM feats"),
+    "word_features": _sql(f"SELECT q, t, {_WORDED} FROM worded", _KNOWN, _worded("candidates", "s1_id", "cand_id")),
+    "fuzzy_features": _sql("SELECT * FROM fuzzy", _FUZZY),
+    "key_features": _sql(f"SELECT s1_id, cand_id, {_round(_TOKEN_FEATURES)}, {', '.join(f'u.{x}' for x in _FUZZY_NAMES)} FROM feats JOIN fuzzy u USING (s1_id, cand_id)", _FUZZY),
+    "pair_features": _sql("SELECT * FROM pairs", *_PAIRS),
     "context_base": _sql(
         """SELECT s1_id AS q, cand_id AS t, round(prob, 6) AS p1, rank::INT AS p1_rank, round(CASE WHEN top > 0 THEN prob / top ELSE 0.0 END, 6) AS p1_ratio, round(CASE WHEN rank = 1 THEN prob - coalesce(second, 0) ELSE prob - top END, 6) AS p1_gap, n AS n_cands, likely::BIGINT AS n_likely, round(total, 6) AS p1_sum
 FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS rank, max(prob) OVER e AS top, nth_value(prob, 2) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, count(*) OVER e AS n, sum((prob > 0.5)::INT) OVER e AS likely, sum(prob) OVER e AS total FROM scores WINDOW e AS (PARTITION BY s1_id))"""
     ),
     "context_extra": _sql(
         """SELECT q, t, round(p1, 6) AS p1, cand_source, r_addr_tset, r_name_tset, addr_word_ovl, r_phon, row_number() OVER (PARTITION BY q, cand_source ORDER BY p1 DESC, t)::INT AS src_rank,
-sum((p1 >= top - 0.1)::INT) OVER (PARTITION BY q)::BIGINT AS amb_count, round(r_addr_tset - max(r_addr_tset) OVER (PARTITION BY q), 6) AS addr_tset_gap, row_number() OVER (PARTITION BY q ORDER BY r_addr_tset DESC, t)::INT AS addr_tset_rank,
-round(r_name_tset - max(r_name_tset) OVER (PARTITION BY q), 6) AS name_tset_gap, row_number() OVER (PARTITION BY q ORDER BY r_name_tset DESC, t)::INT AS name_tset_rank,
-round(addr_word_ovl - max(addr_word_ovl) OVER (PARTITION BY q), 6) AS addr_ovl_gap, round(r_phon - max(r_phon) OVER (PARTITION BY q), 6) AS phon_gap
-FROM (SELECT s1_id AS q, cand_id AS t, prob AS p1, cand_source, round(addr_jaccard, 6) AS r_addr_tset, round(name_jaccard, 6) AS r_name_tset, round(addr_overlap, 6) AS addr_word_ovl, round(phon_jaccard, 6) AS r_phon, max(prob) OVER (PARTITION BY s1_id) AS top FROM scores JOIN feats USING (s1_id, cand_id))"""
-    ),
+sum((p1 >= top - 0.1)::INT) OVER (PARTITION BY q)::BIGINT AS amb_count, round(max(r_addr_tset) OVER (PARTITION BY q) - r_addr_tset, 6) AS addr_tset_gap, row_number() OVER (PARTITION BY q ORDER BY r_addr_tset DESC, t)::INT AS addr_tset_rank,
+round(max(r_name_tset) OVER (PARTITION BY q) - r_name_tset, 6) AS name_tset_gap, row_number() OVER (PARTITION BY q ORDER BY r_name_tset DESC, t)::INT AS name_tset_rank,
+round(max(addr_word_ovl) OVER (PARTITION BY q) - addr_word_ovl, 6) AS addr_ovl_gap, round(max(r_phon) OVER (PARTITION BY q) - r_phon, 6) AS phon_gap
+FROM (SELECT *, max(p1) OVER (PARTITION BY q) AS top FROM scored)""",
+        *_PAIRS, "scored AS (SELECT *, round(1 / (1 + exp(-(-6.0 + r_name_tset * 0.02 + r_addr_tset * 0.03 + name_word_jac * 2.0 + addr_word_jac * 2.0 + c4_keys * 0.5 + n_channels * 0.25))), 5) AS p1 FROM pairs)",
+    ),
     "decide_thresh": _sql("SELECT * FROM thresh"),
     "decide_fallback": _sql("SELECT * FROM fallback"),
     "decide_expf": _sql("SELECT * FROM expf"),
@@ -262,7 +366,7 @@ FROM (SELECT s1_id AS q, cand_id AS t, prob AS p1, cand_source, round(addr_jacca
         f"SELECT round(avg({_F}), 6) AS f05, coalesce(round(avg(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END) FILTER (WHERE n_true > 0 OR n_pred > 0), 6), 0.0) AS precision, coalesce(round(avg(CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END) FILTER (WHERE n_true > 0 OR n_pred > 0), 6), 0.0) AS recall, count(*) AS n FROM per",
         _entity("thresh"),
     ),
-    "rule_grid": _sql("SELECT thr::DOUBLE::VARCHAR AS config, max(round(f, 6)) AS best_f05 FROM tried GROUP BY 1", f"tried AS ({_GRID})"),
+    "rule_grid": _sql(_GRID),
     "diagnose_empties": _sql(
         f"SELECT count(*) AS n, count(*) FILTER (WHERE n_pred = 0) AS empty, count(*) FILTER (WHERE n_pred = 0 AND n_true = 0) AS singleton, count(*) FILTER (WHERE n_pred = 0 AND n_true > 0 AND {_REACH}) AS recoverable, count(*) FILTER (WHERE n_pred = 0 AND n_true > 0 AND NOT {_REACH}) AS never_scored FROM per",
         _entity("thresh"),
@@ -295,7 +399,7 @@ SELECT * FROM scores WHERE s1_id IN (SELECT s1_id FROM conflicted) AND cand_id N
         "kept_old AS (SELECT s1_id, cand_id FROM fallback WHERE s1_id NOT IN (SELECT s1_id FROM conflicted))",
     ),
     "validate_rules": _sql(
-        " UNION ALL ".join(f"SELECT '{k}' AS rule, '{'warning' if k == 'not_a_candidate' else 'error'}' AS severity, count(x) AS n, min(x) AS example FROM ({v})" for k, v in _FOUND.items()),
+        " UNION ALL ".join(f"SELECT '{k}' AS rule, '{'warning' if k == 'not_a_candidate' else 'error'}' AS severity, count(x) AS n, array_to_string((list_sort(list_distinct(list(x))))[1:5], ', ') AS example FROM ({v})" for k, v in _FOUND.items()),
         _lists("mine", "thresh", "true"), f"lines AS (SELECT unnest(CASE WHEN {_B} = 2 THEN [{_LINE}, {_LINE}] ELSE [{_LINE}] END) AS line FROM mine WHERE {_B} <> 5)",
         "rows_ AS (SELECT split_part(line, chr(9), 1) AS s1_id, split_part(line, chr(9), 2) AS ids FROM lines WHERE contains(line, chr(9)))", "members AS (SELECT s1_id, trim(unnest(string_split(trim(ids), ','))) AS cand_id FROM rows_ WHERE ids <> '')",
     ),

@@ -2,34 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
 
 
-def _tsv(spark: SparkSession, path, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema).options(sep="\t", header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
+def _tsv(spark: SparkSession, path, schema: str, **options) -> DataFrame:
+    """A tab-separated file with a header. Quoted fields may hold line ends; a file is split among tasks unless one does, which
+    shows in a line with an odd number of quotes."""
+    open_ = spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+    reader = spark.read.schema(schema).options(sep="\t", header=True, quote='"', escape='"', multiLine=open_.limit(1).count() > 0, mode="PERMISSIVE", **options)
     return reader.csv(path)
 
 
-def read_records(spark: SparkSession, paths: dict[int, str], short_rows: str = "pad") -> DataFrame:
-    """source, entity_id, business_name, business_address, country of several files. Rows with fewer columns are
-    padded with empty strings, or dropped with short_rows="drop"."""
+def read_records(spark: SparkSession, paths: dict[int, str], short_rows: str = "pad", lines: bool = False) -> DataFrame:
+    """source, entity_id, business_name, business_address, country of several files, whose headers must have these names. Rows with
+    fewer columns are padded with empty strings, or dropped with short_rows="drop". lines: with line, which orders the rows of a file."""
     out = None
     for source, path in paths.items():
-        df = _tsv(spark, path, RECORD)
+        df = _tsv(spark, path, RECORD, enforceSchema=False)
+        columns = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns]
+        if lines:
+            columns.append(F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at")).alias("line"))
         if short_rows == "drop":
             df = df.where("country is not null")
-        one = df.select(F.lit(source).cast("tinyint").alias("source"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
+        one = df.select(F.lit(source).cast("tinyint").alias("source"), *columns)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def latest(records: DataFrame, order: str) -> DataFrame:
     """The last row, by a column that gives the order, of each (source, entity_id)."""
-    last = Window.partitionBy("source", "entity_id").orderBy(F.col(order).desc())
-    return records.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    rest = [c for c in records.columns if c not in ("source", "entity_id", order)]
+    last = records.groupBy("source", "entity_id").agg(F.max_by(F.struct(order, *rest), order).alias("last"))
+    return last.select(*[c if c in ("source", "entity_id") else F.col(f"last.{c}").alias(c) for c in records.columns])
+
+
+def required_ids(spark: SparkSession, path: str, key: str = "s1_id") -> DataFrame:
+    """The first column of a file without its header: distinct, stripped, blank lines skipped."""
+    cut = F.trim(F.split("value", "\t")[0])
+    lines = spark.read.text(path)
+    head = lines.limit(1).select(cut.alias("head")).first()
+    ids = lines.select(cut.alias(key)).where(F.col(key) != "").distinct()
+    return ids.where(F.col(key) != head["head"]) if head else ids
+
+
+def match_targets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """cand_id of all files of targets."""
+    out = required_ids(spark, paths[0], "cand_id")
+    for path in paths[1:]:
+        out = out.unionByName(required_ids(spark, path, "cand_id"))
+    return out
 
 
 def read_id_lists(spark: SparkSession, path: str, key: str = "s1_id") -> DataFrame:

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(linkage.QUERIES) - set(oracle.ORACLES) == {"fuzzy_features", "pair_features"}
+    assert set(linkage.QUERIES) == set(oracle.ORACLES)
 
 
 def test_flagship(spark):
