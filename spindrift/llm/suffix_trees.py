@@ -22,6 +22,8 @@ Documents of fewer words than a window pass unchanged. A worker holds a block, o
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -64,30 +66,51 @@ def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 class Words:
-    """The texts of one block as one array of words: numbers into `names`, the block's different words, and hashes."""
+    """The texts of one block as one array of words, by hash."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes]):
         self.ids, self.texts = ids, texts
-        split = [t.split() for t in texts]
-        seen: dict[bytes, int] = {}
-        self.word = np.array([seen.setdefault(w, len(seen)) for words in split for w in words], np.int64)
-        self.names = list(seen)
-        self.first = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)  # the first word of each document, and the end
+        self.joined = b"\n".join(texts) + b"\n"
+        joined = np.frombuffer(self.joined, np.uint8)
+        white = (joined == 32) | ((joined >= 9) & (joined <= 13))
+        edge = np.flatnonzero(np.diff(white.view(np.int8), prepend=1))
+        self.begin, self.end = edge[0::2], edge[1::2]
+        self.first = np.searchsorted(self.begin, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))  # the first word of each document, and the end
+        self.hash = word_hashes(joined, self.begin, self.end)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        ends = np.cumsum([len(w) for w in self.names], dtype=np.int64)
-        hashes = word_hashes(np.frombuffer(b"".join(self.names), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
-        self.hash = hashes[self.word]
         self.sums = ROLL.sums(self.hash)
 
+    def number(self) -> tuple[np.ndarray, list[bytes]]:
+        """The words as numbers into the block's different ones. Hashes sort them, bytes decide."""
+        _, one, word = np.unique(self.hash, return_index=True, return_inverse=True)
+        if self._same(one[word]):
+            return word, [self.joined[a:b] for a, b in zip(self.begin[one].tolist(), self.end[one].tolist(), strict=True)]
+        numbers = defaultdict(count().__next__)
+        words = map(numbers.__getitem__, chain.from_iterable(t.split() for t in self.texts))
+        return np.fromiter(words, np.int64, len(self.hash)), list(numbers)
+
+    def _same(self, other: np.ndarray) -> bool:
+        """Whether each word has the bytes of another one."""
+        length = self.end - self.begin
+        if (length != length[other]).any():
+            return False
+        padded = np.frombuffer(self.joined + bytes(8), np.uint8)
+        view = np.ndarray((len(self.joined) + 1,), "<u8", padded, strides=(1,))
+        mask = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+        left, done = np.flatnonzero(other != np.arange(len(other))), 0
+        while len(left):
+            rest = np.minimum(length[left] - done, 8)
+            if ((view[self.begin[left] + done] ^ view[self.begin[other[left]] + done]) & mask[rest]).any():
+                return False
+            done += 8
+            left = left[length[left] > done]
+        return True
+
     def starts(self, length: int) -> np.ndarray:
         """Where a stretch of `length` words lies within one document."""
         n = max(0, len(self.hash) - length + 1)
         return self.doc[:n] == self.doc[length - 1 : length - 1 + n]
 
-    def rows(self, at: np.ndarray, length: int) -> np.ndarray:
-        """The words of the stretches of `length` words at some starts."""
-        return self.word[at[:, None] + np.arange(length)]
-
     def paths(self, at: np.ndarray, length: int) -> np.ndarray:
         """Fingerprints of the stretches of `length` words at some starts."""
         return ROLL.stretch(self.sums, at, length)
@@ -203,7 +226,8 @@ class Passages:
         width = window - gram + 1
         self.starts = np.flatnonzero((sliding_least(alive, width) == least) & (least != NONE)) if len(hashes) else np.zeros(0, np.int64)
         begin, count, anchor = own.passages(self.starts, hashes, least, width)
-        words, seen = own.word.astype("<i4").tobytes(), {}
+        self.word, self.names = own.number()
+        words, seen = self.word.astype("<i4").tobytes(), {}
         where = np.array([seen.setdefault(words[4 * a : 4 * b], len(seen)) for a, b in zip(begin.tolist(), (begin + count + window - 1).tolist(), strict=True)], np.int64)
         one = np.zeros(len(seen), np.int64)
         one[where] = np.arange(len(begin))
@@ -224,17 +248,17 @@ class Passages:
         found, begin = np.unique(self.part, return_index=True)
         return dict(zip(found.tolist(), np.add.reduceat(self.count, begin).tolist(), strict=True)) if len(found) else {}
 
-    def rows(self, own: Words, block: int, window: int) -> list[tuple]:
+    def rows(self, block: int, window: int) -> list[tuple]:
         found, begin = np.unique(self.part, return_index=True)
         groups = np.split(np.arange(len(self.part)), begin[1:]) if len(found) else []
-        return [(p, block, int(self.count[mine].sum()), self._packet(own, mine, window)) for p, mine in zip(found.tolist(), groups, strict=True)]
+        return [(p, block, int(self.count[mine].sum()), self._packet(mine, window)) for p, mine in zip(found.tolist(), groups, strict=True)]
 
-    def _packet(self, own: Words, mine: np.ndarray, window: int) -> bytes:
+    def _packet(self, mine: np.ndarray, window: int) -> bytes:
         """Some passages as bytes: the words they have, their numbers, the passages' lengths and ids."""
         length = self.count[mine] + window - 1
         at = np.repeat(self.begin[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
-        used, numbers = np.unique(own.word[at], return_inverse=True)
-        names = [own.names[k] for k in used.tolist()]
+        used, numbers = np.unique(self.word[at], return_inverse=True)
+        names = [self.names[k] for k in used.tolist()]
         return pack(
             np.array([len(w) for w in names], "<u4").tobytes(), b"".join(names), numbers.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(),
             length.astype("<u4").tobytes(), planes(self.low[mine], 8),
@@ -278,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if not table.num_rows:
             return sent([])
         own = load(table)
-        return sent(Passages(own, heard, parts, window, gram, prefixes).rows(own, table.column("block")[0].as_py(), window))
+        return sent(Passages(own, heard, parts, window, gram, prefixes).rows(table.column("block")[0].as_py(), window))
 
     def subtrees(table: pa.Table) -> pa.Table:
         words, low = _suffixes(table.column("data").to_pylist(), window)
