@@ -39,6 +39,8 @@ SLICE = 1 << 10
 #: Bytes of signatures that must agree for two texts to be of one family.
 LIKE = 96
 SLACK = 1e-9
+#: The table of texts in families, 24 bytes a row, goes to the texts by broadcast only up to so many; beyond, texts are shuffled to it.
+BROADCAST_ROWS = 2_000_000
 
 _draw = np.random.default_rng(SEED)
 _TURN = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -169,9 +171,9 @@ def families(keys: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join all contents of one part of sets(part, content, members) that links of similarity LEAST join."""
-    first = sets.groupBy("part").agg(F.min("content").alias("content"))
-    heads = sets.join(first, ["part", "content"]).select("part", F.col("content").alias("head"), F.col("members").alias("other")).dropDuplicates(["part"])
+    """Links (a, b) that join all contents of one part of sets(part, head, content, members) that links of similarity LEAST join;
+    head is one of the part's contents."""
+    heads = sets.where("content = head").select("part", F.col("members").alias("other")).dropDuplicates(["part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,14 +181,15 @@ def links(sets: DataFrame) -> DataFrame:
             far, linked = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("part", "content", "head")], pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["part", "content", "head", "far", "linked"])
 
-    met = sets.join(heads, "part").where("content <> head").select("part", "content", "head", "members", "other")
+    met = sets.where("content <> head").join(heads, "part").select("part", "content", "head", "members", "other")
     far = materialize(met.mapInArrow(compare, "part long, content long, head long, far double, linked boolean"))
     star = far.where("linked").select(F.col("content").alias("a"), F.col("head").alias("b"))
     open_ = far.where("not linked").groupBy("part").agg(F.min("far").alias("least"))
     reach_of = (LEAST[1] - LEAST[0]) / LEAST[1] + SLACK
     rest = far.join(open_, "part").where(F.col("far") >= F.col("least") - reach_of).select("part", "content").distinct()
     several = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
-    rest = rest.join(several, "part", "left_semi").join(sets, ["part", "content"])
+    rest = rest.join(several, "part", "left_semi")
+    rest = rest.join(sets.select("part", "content", "members"), ["part", "content"]).dropDuplicates(["part", "content"])
     return star.unionByName(rest.groupBy("part").applyInArrow(_forest(lambda column: reach(_sets(column))), "a long, b long"))
 
 
@@ -201,17 +204,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([shingles(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["part", "content", "members"])
+            made = pa.array([shingles(t).tobytes() for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["part", "head", "content", "members"])
 
     signed = own.mapInArrow(sign, "doc_id long, content long, bands array<long>, members binary")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
     signed = materialize(signed.groupBy("content").agg(F.min(rank).alias("rank"), F.first("bands").alias("bands"), F.first("members").alias("members")).select("rank.id", "content", "bands", "members"))
     met = materialize(connected_components(families(signed.select("content", F.explode("bands").alias("key")), signed.select("content", "members"))))
     met = met.union(met.select(F.col("root").alias("node"), "root").distinct())
-    chosen = signed.join(met, F.col("content") == F.col("node")).select(F.col("id").alias("__id"), F.col("content").alias("__content"), F.col("root").alias("part"))
-    chosen = materialize(chosen)
-    found = own.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content"))).select("part", "content", "text")
-    sets = materialize(found.dropDuplicates(["content"]).mapInArrow(cut, "part long, content long, members binary"))
+    # The root of a family is its least content, and its vantage point.
+    chosen = signed.select("id", "content").join(met, F.col("content") == F.col("node"))
+    chosen = materialize(chosen.select(F.col("id").alias("__id"), F.col("content").alias("__content"), F.col("root").alias("head")))
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    found = own.join(small, (F.col("content") == F.col("__content")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    found = found.select(F.col("head").alias("part"), "head", "content", "text")
+    sets = materialize(found.mapInArrow(cut, "part long, head long, content long, members binary"))
     roots = connected_components(links(sets))
     return signed.join(roots, F.col("content") == F.col("node"), "left").select(F.col("id").alias("doc_id"), "content", F.coalesce("root", "content").alias("root"))
