@@ -168,3 +168,11 @@ def usual_rules() -> list[Rule]:
     rules = [Rule("thresh", thr=t, top_n=n) for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9) for n in (None, 4, 6, 8)]
     rules += [Rule("expf", r=r, s=s, floor=f) for r in (0.6, 0.75, 0.9, 1.0) for s in (0.4, 0.7, 1.0) for f in (0.05, 0.2)]
     return [Rule(**(vars(x) | {"exclusive": e})) for x in rules for e in (False, True)]
+
+
+def offline_rules() -> list[Rule]:
+    """The grid that is searched on score dumps, without exclusive forms."""
+    rules = [Rule("thresh", thr=t, top_n=n) for t in (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85) for n in (None, 4, 5, 6, 8)]
+    highs, lows = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8), (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4)
+    rules += [Rule("fallback", thr=hi, lo=lo, top_n=n) for hi in highs for lo in lows for n in (None, 5, 6, 8)]
+    return rules + [Rule("expf", r=r, s=s, floor=f) for r in (0.55, 0.65, 0.75, 0.85, 1.0) for s in (0.2, 0.4, 0.6, 0.8, 1.0) for f in (0.05, 0.1, 0.2)]

@@ -245,6 +245,13 @@ def merge(store: Store, out: str, strict: bool = True) -> dict[str, DataFrame]:
     return made
 
 
+def tune(scores: DataFrame, truth: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every rule of the off-line grid on a score dump, best first; exclusive ones keep each target for its best record before deciding."""
+    rules = decide.offline_rules()
+    before = decide.grid(decide.one_owner(scores), truth, ids, rules).withColumn("config", F.replace("config", F.lit("exclusive=False"), F.lit("exclusive=True")))
+    return decide.grid(scores, truth, ids, rules).unionByName(before).orderBy(F.col("f05").desc(), "config")
+
+
 def apply(scores: DataFrame, ids: DataFrame, rule: Rule, out: str) -> DataFrame:
     """Match lists of a rule on a score dump. An exclusive rule keeps each target for its best record before deciding."""
     own = decide.one_owner(scores) if rule.exclusive else scores
