@@ -80,27 +80,31 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.sums = ROLL.sums(self.hash)
 
-    def number(self) -> tuple[np.ndarray, list[bytes]]:
-        """The words as numbers into the block's different ones. Hashes sort them, bytes decide."""
-        _, one, word = np.unique(self.hash, return_index=True, return_inverse=True)
-        if self._same(one[word]):
-            return word, [self.joined[a:b] for a, b in zip(self.begin[one].tolist(), self.end[one].tolist(), strict=True)]
+    def number(self, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Of the words at some places their numbers among the different ones of these (0 elsewhere), and these. Hashes sort them,
+        bytes decide."""
+        text = lambda k: self.joined[self.begin[k] : self.end[k]]
+        out = np.zeros(len(self.hash), np.int64)
+        _, one, word = np.unique(self.hash[at], return_index=True, return_inverse=True)
+        if self._same(at, at[one][word]):
+            out[at] = word
+            return out, [text(k) for k in at[one].tolist()]
         numbers = defaultdict(count().__next__)
-        words = map(numbers.__getitem__, chain.from_iterable(t.split() for t in self.texts))
-        return np.fromiter(words, np.int64, len(self.hash)), list(numbers)
-
-    def _same(self, other: np.ndarray) -> bool:
-        """Whether each word has the bytes of another one."""
-        length = self.end - self.begin
-        if (length != length[other]).any():
+        out[at] = np.fromiter((numbers[text(k)] for k in at.tolist()), np.int64, len(at))
+        return out, list(numbers)
+
+    def _same(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the words at a have the bytes of those at b."""
+        a, b = a[a != b], b[a != b]
+        length = self.end[a] - self.begin[a]
+        if (length != self.end[b] - self.begin[b]).any():
             return False
         padded = np.frombuffer(self.joined + bytes(8), np.uint8)
         view = np.ndarray((len(self.joined) + 1,), "<u8", padded, strides=(1,))
         mask = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-        left, done = np.flatnonzero(other != np.arange(len(other))), 0
+        done, left = 0, np.arange(len(a))
         while len(left):
-            rest = np.minimum(length[left] - done, 8)
-            if ((view[self.begin[left] + done] ^ view[self.begin[other[left]] + done]) & mask[rest]).any():
+            if ((view[self.begin[a[left]] + done] ^ view[self.begin[b[left]] + done]) & mask[np.minimum(length[left] - done, 8)]).any():
                 return False
             done += 8
             left = left[length[left] > done]
@@ -226,7 +230,10 @@ class Passages:
         width = window - gram + 1
         self.starts = np.flatnonzero((sliding_least(alive, width) == least) & (least != NONE)) if len(hashes) else np.zeros(0, np.int64)
         begin, count, anchor = own.passages(self.starts, hashes, least, width)
-        self.word, self.names = own.number()
+        marks = np.zeros(len(own.hash) + 1, np.int32)
+        np.add.at(marks, begin, 1)
+        np.add.at(marks, begin + count + window - 1, -1)
+        self.word, self.names = own.number(np.flatnonzero(np.cumsum(marks[:-1]) > 0))
         words, seen = self.word.astype("<i4").tobytes(), {}
         where = np.array([seen.setdefault(words[4 * a : 4 * b], len(seen)) for a, b in zip(begin.tolist(), (begin + count + window - 1).tolist(), strict=True)], np.int64)
         one = np.zeros(len(seen), np.int64)

@@ -156,6 +156,16 @@ def test_word_hashes():
     assert got[:10].tolist() == got[10:].tolist() and len(set(got.tolist())) == 10
 
 
+def test_words_of_one_hash_stay_apart():
+    own = suffix_trees.Words(np.array([1, 2]), [b"a bb ccc a  bb", b"\tlonger-than-eight-bytes a\nlonger-than-eight-bytez"])
+    every = np.arange(len(own.hash))
+    for clash in (False, True):
+        if clash:
+            own.hash = own.hash & np.uint64(1)
+        word, names = own.number(every)
+        assert [names[k] for k in word.tolist()] == [w for t in own.texts for w in t.split()] and len(names) == 5
+
+
 def test_deep_nodes_of_a_subtree():
     rnd = random.Random(3)
     words = np.array([rnd.choices(range(3), k=4) for _ in range(300)])
