@@ -10,9 +10,11 @@ ERRORS = ("comma_instead_of_tab", "header", "row_without_tab", "duplicate_row",
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and line of a text file; line 0 is the header. Order is that of the file, so it must be one file."""
-    lines = spark.read.option("wholetext", False).text(path).withColumn("__at", F.monotonically_increasing_id())
-    return lines.select(F.col("__at").alias("line_no"), F.col("value").alias("line"))
+    """line_no and line of a text file, or of all files in a folder; line 0 is the header, the first line of each file."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    first = F.broadcast(lines.groupBy("file").agg(F.min("place").alias("first")))  # a row a file
+    return lines.join(first, "file").select(F.when(F.col("place") == F.col("first"), 0).otherwise(F.col("place.at") + 1).alias("line_no"), "line")
 
 
 def validate_lines(lines: DataFrame, required: DataFrame, header: tuple[str, str], valid_ids: DataFrame | None = None, matches_within: DataFrame | None = None) -> DataFrame:

@@ -91,8 +91,7 @@ def test_both_generations_write_results(spark, tmp_path):
     assert run("merge", "--store", at("store"), "--out", at("out")) == 0
     files = ["--matching", at("out/matching_results"), "--candidates", at("out/candidate_pairs"), "--source1", paths[1], "--targets", paths[2], paths[3]]
     report = jobs.validate_files(spark, *(files[k] for k in (1, 5, 3)), [paths[2], paths[3]])
-    errors = {r.rule for r in report.where("n > 0 and severity = 'error'").collect()}
-    assert errors <= {"header", "duplicate_row", "unexpected_row"}  # a folder of part files has several headers; one file is meant
+    assert report.where("n > 0").count() == 0 and run("validate", *files) == 0
     assert jobs.recall_check(store, gold).first().pair_recall > 0.9
     assert run("tune", "--scores", at("out/scores"), "--truth", truth, "--universe", paths[1]) == 0
 
