@@ -4,8 +4,8 @@ A message that holds calls is a JSON object {"tool_calls": [{"id", "name", "argu
 result is {"tool_call_id", "content"}. `after` names the call, or lists the calls, whose results a call builds on, so calls
 form a graph; (depth, turn, pos) sorts every call behind all it builds on, depth being the longest path from a call
 that builds on none. Chains, where each call builds on one, are followed by pointer doubling, in as many joins
-as the logarithm of the longest; calls that build on several take one more join for each such call on a path. No
-conversation is gathered in one task.
+as the logarithm of the longest; of the calls that build on several, the first BATCH of each conversation are settled in one
+task, then the next. No whole conversation is gathered in one task.
 
 Identifiers are those of a conversation. Of several calls with one identifier the least by (turn, pos, content) counts,
 `copies` tells how many there were; of several results the least by (turn, content) among those at or after the call's
@@ -18,10 +18,11 @@ one of its own, apart from one named "null"; a null turn sorts first.
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import discard, materialize
@@ -34,6 +35,9 @@ SCHEMAS = {
     "translate": {"text": ("string", True), "to": ("string", True)},
 }
 
+#: Calls of one conversation that build on several, settled at once.
+BATCH = 20_000
+
 EVENTS = "conv string, turn long, pos int, kind string, id string, name string, after array<string>, body string, errors array<string>"
 
 
@@ -113,7 +117,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     results = results.groupBy("conv", "id").agg(F.min(F.when(since, answer)).alias("late"), F.min(answer).alias("least"))
     results = results.select("conv", "id", F.coalesce("late", "least").alias("r"), F.col("late").isNull().alias("early"))
     linked = materialize(calls.join(results, ["conv", "id"], "full"))
-    rows = linked.join(depths(linked.where("c is not null").select("conv", "id", F.col("c.after").alias("after"))), ["conv", "id"], "left")
+    rows = linked.join(depths(linked.where("c is not null").select("conv", "id", "c.turn", "c.pos", "c.after")), ["conv", "id"], "left")
     status = (
         F.when(F.col("c").isNull(), "no_call")
         .when(F.col("depth").isNull(), "cycle")
@@ -138,8 +142,26 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     return rows.mapInArrow(write, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", json string")
 
 
+def _settle(group: pa.Table) -> pa.Table:
+    """The depths that follow from known ones, among some calls of one conversation given as edges (id, top, far, depth of the top)."""
+    depth, open_, children = {}, Counter(), defaultdict(list)
+    for id_, top, far, known in zip(*[group.column(c).to_pylist() for c in ("id", "top", "far", "depth")], strict=True):
+        depth[id_] = max(depth.get(id_, 0), 0 if known is None else known + far)
+        open_[id_] += known is None
+        if known is None:
+            children[top].append((id_, far))
+    ready = [i for i in depth if not open_[i]]
+    for top in ready:
+        for id_, far in children.get(top, ()):
+            depth[id_] = max(depth[id_], depth[top] + far)
+            open_[id_] -= 1
+            if not open_[id_]:
+                ready.append(id_)
+    return pa.table({"conv": pa.array([group.column("conv")[0].as_py()] * len(ready), pa.string()), "id": pa.array(ready, pa.string()), "depth": pa.array([depth[i] for i in ready], pa.int64())})
+
+
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv, id, depth) of calls(conv, id, after): the longest path to a call that builds on none; null on and behind cycles."""
+    """(conv, id, depth) of calls(conv, id, turn, pos, after): the longest path to a call that builds on none; null on and behind cycles."""
     there = calls.select("conv", F.col("id").alias("up"))
     edges = materialize(calls.select("conv", "id", F.explode("after").alias("up")).join(there, ["conv", "up"]).select("conv", "id", "up"))
     above = edges.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("one"))
@@ -158,18 +180,30 @@ def depths(calls: DataFrame) -> DataFrame:
         discard(last)
         before, open_ = open_, up.where("not done").count()
     ends = materialize(up.where("done and top = id and n = 0").select("conv", "id", F.lit(0).cast("long").alias("depth")))
-    # The ends that build on several wait until all of these are known.
+    # The ends that build on several wait until all of these are known. One that builds on a cycle never is.
     several = up.where("n > 1").select("conv", "id").join(edges, ["conv", "id"])
     parents = up.select("conv", F.col("id").alias("up"), "top", (F.col("far") + 1).alias("far"), F.col("done").alias("sure"))
-    waiting = materialize(several.join(parents, ["conv", "up"]).select("conv", "id", "top", "far", "sure"))
+    waiting = several.join(parents, ["conv", "up"])
+    never = waiting.where("not sure").select("conv", "id").distinct()
+    waiting = waiting.join(never, ["conv", "id"], "left_anti").select("conv", "id", "top", "far")
+    waiting = materialize(waiting.join(calls.select("conv", "id", "turn", "pos"), ["conv", "id"]))
+    place = F.dense_rank().over(Window.partitionBy("conv").orderBy("turn", "pos", "id"))
+    whole = False
     while waiting.limit(1).count():
-        known = ends.select("conv", F.col("id").alias("top"), "depth")
-        now = waiting.join(known, ["conv", "top"], "left").groupBy("conv", "id")
-        now = now.agg(F.bool_and(F.col("sure") & F.col("depth").isNotNull()).alias("all"), F.max(F.col("depth") + F.col("far")).alias("depth")).where("all").select("conv", "id", "depth")
+        some = waiting if whole else waiting.withColumn("place", place).where(F.col("place") <= BATCH)
+        known = some.join(ends.select("conv", F.col("id").alias("top"), "depth"), ["conv", "top"], "left")
+        if whole:  # nothing at the front could be settled: one step anywhere, and if there is none, the rest builds on cycles
+            now = known.groupBy("conv", "id").agg(F.bool_and(F.col("depth").isNotNull()).alias("all"), F.max(F.col("depth") + F.col("far")).alias("depth"))
+            now = now.where("all").select("conv", "id", "depth")
+        else:
+            now = known.select("conv", "id", "top", "far", "depth").groupBy("conv").applyInArrow(_settle, "conv string, id string, depth long")
         now = materialize(now)
         if not now.limit(1).count():
-            break
-        last, ends = (ends, waiting), materialize(ends.unionByName(now))
+            if whole:
+                break
+            whole = True
+            continue
+        last, ends, whole = (ends, waiting), materialize(ends.unionByName(now)), False
         waiting = materialize(waiting.join(now, ["conv", "id"], "left_anti"))
         discard(*last, now)
     tops = ends.select("conv", F.col("id").alias("top"), "depth")

@@ -4,6 +4,8 @@ import json
 import random
 from collections import defaultdict
 
+import pytest
+
 from spindrift.llm import tool_calls
 
 
@@ -88,7 +90,9 @@ def brute(rows):
     return out
 
 
-def test_against_plain_walks(spark):
+@pytest.mark.parametrize("batch", [20_000, 3])
+def test_against_plain_walks(spark, monkeypatch, batch):
+    monkeypatch.setattr(tool_calls, "BATCH", batch)
     rnd = random.Random(8)
     rows = []
     for conv in ["a", "null", None, "", "é", "long" * 50]:
