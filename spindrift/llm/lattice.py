@@ -40,7 +40,7 @@ COSINE = 0.98
 REACH = 0.3
 CELL = 4096
 #: Vectors that the driver sees to find the cells to split, whatever their number.
-SAMPLE = 1 << 14
+SAMPLE = 1 << 12
 #: Vectors of one packet, visits of a part, and rows of one Python call that verifies, at the most or about.
 BATCH, VISITS, GROUP = 10_000, 400_000, 20_000
 #: One step of a coordinate's byte, in units of the lattice, and what rounding can add to a distance there.
