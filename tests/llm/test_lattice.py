@@ -73,6 +73,6 @@ def test_near_duplicates(spark, monkeypatch, size, cell):
 
 
 def test_tiny_and_huge_vectors_link(spark):
-    rows = [(1, [1e-200] * 8, 0), (2, [2e-200] * 8, 0), (3, [1e300] * 8, 0), (4, [-1e-200] * 8, 0), (5, [5e-324] * 8, 0), (6, [1e-200] * 8, 1), (7, [1.0, 0, 0, 0, 0, 0, 0, 0], 0)]
+    rows = [(1, [1e-200] * 8, 0), (2, [2e-200] * 8, 0), (3, [1e300] * 8, 0), (4, [-1e-200] * 8, 0), (5, [5e-324] * 8, 0), (6, [1e-200] * 8, 1), (7, [1.0] + [0.0] * 7, 0)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (0, 6), 7: (0, 7)}
