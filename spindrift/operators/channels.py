@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 
 EXACT_CAP = 200
+#: Queries and targets of one cell, and sums that are held at once.
+QUERIES, TARGETS, CELLS = 16_000, 64_000, 1 << 23
 #: Query n-grams kept and results returned, by channel.
 KEEP = {"c2": 14, "c2b": 12, "c3": 22}
 TOP = {"c2": 50, "c2b": 40, "c3": 50}
@@ -26,8 +30,10 @@ def linked_forms(records: DataFrame, fold=X.fold) -> DataFrame:
 def tfidf_topk(forms: DataFrame, field: str, channel: str, pad_words: bool, min_df: int = 2, max_df: float = 0.02) -> DataFrame:
     """(q, t, cos, rank): for each record of source 1 its nearest targets of the same country.
 
-    Frequencies are those of the targets. N-grams that are too common are dropped before the join and a query keeps its
-    heaviest only, which bounds both the posting lists and the rows of a query.
+    Frequencies are those of the targets. N-grams that are too common are dropped, and a query keeps its heaviest only. A
+    country's queries and targets form a grid of cells of bounded size; each cell is a product of two sparse matrices
+    that leaves a query's nearest only, so what is shuffled is records, a few times each, and never hits, of which common
+    n-grams make many. A common n-gram or a large country is spread over the cells.
     """
     terms = forms.select("source", "entity_id", "country", F.explode(X.grams(F.col(field), pad_words)).alias("gram"))
     terms = terms.groupBy("source", "entity_id", "country", "gram").agg(F.count(F.lit(1)).alias("tf"))
@@ -40,13 +46,76 @@ def tfidf_topk(forms: DataFrame, field: str, channel: str, pad_words: bool, min_
     weighed = weighed.withColumn("w", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)), 9))
     heavy = Window.partitionBy("entity_id").orderBy(F.col("w").desc(), "gram")
     queries = weighed.where("source = 1").withColumn("n", F.row_number().over(heavy)).where(F.col("n") <= KEEP[channel])
-    queries = queries.select("country", "gram", F.col("entity_id").alias("q"), F.col("w").alias("qw"))
-    targets = weighed.where("source > 1").select("country", "gram", F.col("entity_id").alias("t"), F.col("w").alias("tw"))
-    pairs = queries.join(targets, ["country", "gram"]).groupBy("q", "t").agg(F.round(F.sum(F.col("qw") * F.col("tw")), 6).alias("cos"))
+    sizes = forms.groupBy("country").agg(*[F.greatest(F.ceil(F.sum(cond.cast("long")) / most), F.lit(1)).cast("int").alias(name) for name, cond, most in (("rows", F.col("source") == 1, QUERIES), ("columns", F.col("source") > 1, TARGETS))])
+    left = _dealt(_vectors(queries, "q"), sizes, "q", ("row", "rows"), ("column", "columns"))
+    right = _dealt(_vectors(weighed.where("source > 1"), "t"), sizes, "t", ("column", "columns"), ("row", "rows"))
+    right = right.toDF("country_t", "t", "codes", "weights", "column_t", "row_t")
+    near = left.groupBy("country", "row", "column").cogroup(right.groupBy("country_t", "row_t", "column_t")).applyInArrow(_nearest(TOP[channel]), "q string, t string, cos double")
+    pairs = near.withColumn("cos", F.round("cos", 6))
     order = Window.partitionBy("q").orderBy(F.col("cos").desc(), "t")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP[channel])
 
 
+def _vectors(weighed: DataFrame, name: str) -> DataFrame:
+    """country, id and its n-grams as numbers (three code points of 21 bits) with their weights; a record's own few."""
+    code = F.lit(0).cast("long")
+    for k in (1, 2, 3):
+        code = code * F.lit(1 << 21) + F.ascii(F.substring("gram", k, 1))
+    terms = weighed.groupBy("country", F.col("entity_id").alias(name)).agg(F.collect_list(F.struct(code.alias("code"), "w")).alias("terms"))
+    return terms.select("country", name, F.col("terms.code").alias("codes"), F.col("terms.w").alias("weights"))
+
+
+def _dealt(vectors: DataFrame, sizes: DataFrame, name: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """vectors dealt to the cells of their country's grid: their own row or column by hash, and each of the other side's."""
+    place = F.pmod(F.xxhash64(name), F.col(own[1])).cast("int").alias(own[0])
+    each = F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)).alias(other[0])
+    return vectors.join(sizes, "country").select("country", name, "codes", "weights", place, each)
+
+
+def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and weight of all terms."""
+    codes, weights = table.column("codes").combine_chunks(), table.column("weights").combine_chunks()
+    lengths = np.diff(codes.offsets.to_numpy())
+    return np.repeat(np.arange(len(lengths)), lengths), codes.flatten().to_numpy(), weights.flatten().to_numpy()
+
+
+def _nearest(k: int):
+    """For one cell of queries and targets: for each query the k targets of largest cosine, and any that rounding may put among them."""
+
+    def near(queries: pa.Table, targets: pa.Table) -> pa.Table:
+        empty = pa.table({"q": pa.array([], pa.string()), "t": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
+        if not queries.num_rows or not targets.num_rows:
+            return empty
+        column, codes, weights = _postings(targets)
+        order = np.argsort(codes, kind="stable")
+        column, weights = column[order], weights[order]
+        known, begin = np.unique(codes[order], return_index=True)
+        row, asked, own = _postings(queries)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        hit = known[at] == asked
+        row, at, own = row[hit], at[hit], own[hit]
+        count = np.diff(np.append(begin, len(column)))[at]
+        out, n, step = [], targets.num_rows, max(1, CELLS // targets.num_rows)
+        for low in range(0, queries.num_rows, step):
+            mine = (row >= low) & (row < low + step)
+            c = count[mine]
+            post = np.repeat(begin[at[mine]] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            sums = np.bincount(np.repeat(row[mine] - low, c) * n + column[post], np.repeat(own[mine], c) * weights[post], minlength=0)
+            some = np.flatnonzero(sums)
+            some = some[np.lexsort((-sums[some], some // n))]
+            q, value = some // n, sums[some]
+            first = np.searchsorted(q, q)  # where the query's own begin
+            last = np.minimum(first + k, np.searchsorted(q, q, side="right")) - 1
+            keep = value >= value[last] - 2e-6
+            out.append((q[keep] + low, some[keep] % n, value[keep]))
+        if not out:
+            return empty
+        q, t, value = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"q": queries.column("q").take(pa.array(q)), "t": targets.column("t").take(pa.array(t)), "cos": pa.array(value)})
+
+    return near
+
+
 def _exact_keys(forms: DataFrame) -> DataFrame:
     typed = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("field"), v.alias("key")))
     keys = F.concat(

@@ -156,3 +156,13 @@ def test_two_stage_model(spark):
     assert right > 190 and model.importance(models[0], ["a", "b"])[0][0] == "a"
     parts = model.split(df.selectExpr("q as s1_id"), 3, 10)
     assert {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()} == {"val": 3, "fit": 10}
+
+
+def test_cosine_channel_in_many_cells(spark, monkeypatch):
+    forms = channels.linked_forms(tables.from_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))).cache()
+    rows = lambda: sorted(map(tuple, channels.tfidf_topk(forms, "name", "c2", True).collect()))
+    whole = rows()
+    monkeypatch.setattr(channels, "QUERIES", 7)
+    monkeypatch.setattr(channels, "TARGETS", 20)
+    assert rows() == whole and len(whole) > 100
+    forms.unpersist()
