@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialize
+from spindrift.llm.common import discard, materialize
 
 
 def _state(links: DataFrame):
@@ -24,12 +24,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = _state(links)
     while state[0]:
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(near, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(least, "a")
         small = joined.select("b", "m").where("b <> m").toDF("a", "b").union(least.toDF("a", "b"))
-        links = materialize(small.distinct())
+        last, links = (links, near, large, least), materialize(small.distinct())
+        discard(*last)
         before, state = state, _state(links)
         if before == state:
             break

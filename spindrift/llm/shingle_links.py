@@ -1,7 +1,8 @@
 """Near copies by the Jaccard similarity of word shingles: the wide notion that SimHash with few bits can't carry.
 
-Texts whose sets of five-word shingles have a similarity of 4/5 or more are linked. MinHash bands only gather what may
-be linked (a pair of exactly 4/5 shares none of the 32 bands of 5 with a chance of 3 in a million, a closer one less). In each band's
+Texts whose sets of five-word shingles have a similarity of 4/5 or more are linked. SimHash fingerprints of these shingles
+and their vantage-point trees (`simhash`) gather texts within a few bits; as 4/5 is up to 14 bits, a radius at which
+no vantage point tells anything apart, MinHash bands gather the rest. Both only gather what may be linked (a pair of exactly 4/5 shares none of the 32 bands of 5 with a chance of 3 in a million, a closer one less). In each band's
 bucket the least member is a vantage point: all others are compared with it by their signatures, a byte for each of
 the 160 least hashes, and those that agree in LIKE bytes are of one family (at 4/5 they agree in 128 on average; in fewer
 than LIKE with a chance of one in 10 thousand million). The rest of a bucket, with those whose distance from the vantage point
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from spindrift.llm import simhash
 from spindrift.llm.common import materialize
 from spindrift.llm.components import connected_components
 
@@ -199,18 +201,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, signatures = zip(*[sketch(shingles(t)) for t in batch.column(2).to_pylist()], strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["doc_id", "content", "bands", "members"])
+            texts = batch.column(2).to_pylist()
+            keys, signatures = zip(*[sketch(shingles(t)) for t in texts], strict=True) if texts else ((), ())
+            made = [pa.array([simhash.fingerprint(t, SHINGLE) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "content", "fp", "bands", "members"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([shingles(t).tobytes() for t in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["part", "head", "content", "members"])
 
-    signed = own.mapInArrow(sign, "doc_id long, content long, bands array<long>, members binary")
+    signed = own.mapInArrow(sign, "doc_id long, content long, fp long, bands array<long>, members binary")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
-    signed = materialize(signed.groupBy("content").agg(F.min(rank).alias("rank"), F.first("bands").alias("bands"), F.first("members").alias("members")).select("rank.id", "content", "bands", "members"))
-    met = materialize(connected_components(families(signed.select("content", F.explode("bands").alias("key")), signed.select("content", "members"))))
+    first = [F.first(c).alias(c) for c in ("fp", "bands", "members")]
+    signed = materialize(signed.groupBy("content").agg(F.min(rank).alias("rank"), *first).select("rank.id", "content", "fp", "bands", "members"))
+    # One content for each fingerprint; the others of it, and those within the radius, are of its family.
+    classes = materialize(signed.groupBy("fp").agg(F.min("content").alias("one")))
+    near = simhash.classes_and_links(classes.select("fp"))
+    one = lambda name: classes.select(F.col("fp").alias(name), F.col("one").alias(f"{name}_one"))
+    near = near.join(one("a"), "a").join(one("b"), "b").select(F.col("a_one").alias("a"), F.col("b_one").alias("b"))
+    near = near.unionByName(signed.join(classes, "fp").where("content <> one").select(F.col("content").alias("a"), F.col("one").alias("b")))
+    banded = families(signed.select("content", F.explode("bands").alias("key")), signed.select("content", "members"))
+    met = materialize(connected_components(banded.unionByName(near)))
     met = met.union(met.select(F.col("root").alias("node"), "root").distinct())
     # The root of a family is its least content, and its vantage point.
     chosen = signed.select("id", "content").join(met, F.col("content") == F.col("node"))
