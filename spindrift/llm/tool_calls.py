@@ -27,13 +27,22 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import discard, materialize
 
-KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
-#: For each tool its arguments: their type, and whether they are required.
+KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+#: For each tool the schema of its arguments, in the words of JSON Schema that `violations` knows.
 SCHEMAS = {
-    "search": {"query": ("string", True), "words": ("integer", True), "exact": ("boolean", False)},
-    "summarise": {"text": ("string", True), "limit": ("integer", True)},
-    "translate": {"text": ("string", True), "to": ("string", True)},
-}
+    "search": {
+        "type": "object", "required": ["query", "words"], "additionalProperties": False,
+        "properties": {"query": {"type": "string"}, "words": {"type": "integer", "minimum": 0}, "exact": {"type": "boolean"}},
+    },
+    "summarise": {
+        "type": "object", "required": ["text", "limit"], "additionalProperties": False,
+        "properties": {"text": {"type": "string"}, "limit": {"type": "integer", "minimum": 0}},
+    },
+    "translate": {
+        "type": "object", "required": ["text", "to"], "additionalProperties": False,
+        "properties": {"text": {"type": "string"}, "to": {"type": "string", "enum": ["de", "en", "es", "fr"]}},
+    },
+}
 
 #: Calls of one conversation that build on several, settled at once.
 BATCH = 20_000
@@ -46,19 +55,46 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _is(value, kind: str) -> bool:
+    """Whether a value is of a kind. A number without a fraction is an integer, true and false are no numbers."""
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, KINDS[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
+
+
+def violations(value, schema: dict, at: str = "arguments") -> list[str]:
+    """What a value lacks of a schema: type, enum, minimum, maximum, minLength, maxLength, minItems, maxItems, items, properties,
+    required and additionalProperties. Names are those of the members, joined by points, with places of lists in brackets."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at} is no {' or '.join(kinds)}"]
+    found = [f"{at} is none of the values"] * ("enum" in schema and value not in schema["enum"])
+    size = value if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+    length = len(value) if isinstance(value, (str, list)) else None
+    kind = "Length" if isinstance(value, str) else "Items"
+    for less, limit, own in (("too small", "minimum", size), ("too short", f"min{kind}", length)):
+        found += [f"{at} is {less}"] * (own is not None and limit in schema and own < schema[limit])
+    for more, limit, own in (("too large", "maximum", size), ("too long", f"max{kind}", length)):
+        found += [f"{at} is {more}"] * (own is not None and limit in schema and own > schema[limit])
+    if isinstance(value, list) and "items" in schema:
+        found += [x for k, item in enumerate(value) for x in violations(item, schema["items"], f"{at}[{k}]")]
+    if isinstance(value, dict):
+        name = lambda key: key if at == "arguments" else f"{at}.{key}"
+        known = schema.get("properties", {})
+        for key in sorted({*known, *schema.get("required", [])}):
+            if key in value:
+                found += violations(value[key], known.get(key, {}), name(key))
+            elif key in schema.get("required", []):
+                found.append(f"{name(key)} is missing")
+        if schema.get("additionalProperties") is False:
+            found += [f"{name(key)} is unknown" for key in sorted(set(value) - set(known))]
+    return found
+
+
 def check_arguments(name: str | None, arguments, schemas: dict) -> list[str]:
     """What is wrong with the arguments of a call."""
-    if name not in schemas:
-        return ["unknown tool"]
-    if not isinstance(arguments, dict):
-        return ["arguments are no object"]
-    found = []
-    for key, (kind, required) in sorted(schemas[name].items()):
-        if key not in arguments:
-            found += [f"{key} is missing"] * required
-        elif not isinstance(arguments[key], KINDS[kind]) or kind != "boolean" and isinstance(arguments[key], bool):
-            found.append(f"{key} is no {kind}")
-    return found + [f"{key} is unknown" for key in sorted(set(arguments) - set(schemas[name]))]
+    return violations(arguments, schemas[name]) if name in schemas else ["unknown tool"]
 
 
 def _loads(text: str | None):

@@ -55,6 +55,19 @@ def test_conversations_as_messages(spark):
     assert json.loads(got["c1-0"].json)["result"] == "yes"
 
 
+def test_schemas():
+    schema = {
+        "type": "object", "required": ["a", "list"], "additionalProperties": False,
+        "properties": {"a": {"type": ["integer", "null"], "minimum": 2, "maximum": 5}, "list": {"type": "array", "minItems": 1, "items": {"type": "object", "properties": {"s": {"type": "string", "maxLength": 3, "enum": ["x", "yy", "long"]}}}}},
+    }
+    wrong = lambda value: tool_calls.violations(value, schema)
+    assert wrong({"a": None, "list": [{"s": "x"}, {}]}) == [] and wrong({"a": 3.0, "list": [{}]}) == []
+    assert wrong([]) == ["arguments is no object"] and wrong({}) == ["a is missing", "list is missing"]
+    assert wrong({"a": True, "list": []}) == ["a is no integer or null", "list is too short"]
+    assert wrong({"a": 1, "list": [{"s": "long"}, {"s": "z"}, {"s": 1}, 2], "b": 0}) == ["a is too small", "list[0].s is too long", "list[1].s is none of the values", "list[2].s is no string", "list[3] is no object", "b is unknown"]
+    assert wrong({"a": 5.5, "list": [{}]}) == ["a is no integer or null"] and wrong({"a": 6, "list": [{}]}) == ["a is too large"]
+
+
 def brute(rows):
     """By plain walks: (conv, id) to (status, depth, copies, result content, valid)."""
     calls, results = defaultdict(list), defaultdict(list)
