@@ -6,6 +6,7 @@ Scores are (s1_id, cand_id, prob). Candidates of a record are its own few, order
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,15 +165,27 @@ def grid(scores: DataFrame, truth: DataFrame, universe: DataFrame, rules: list[R
     )
 
 
-def usual_rules() -> list[Rule]:
-    rules = [Rule("thresh", thr=t, top_n=n) for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9) for n in (None, 4, 6, 8)]
-    rules += [Rule("expf", r=r, s=s, floor=f) for r in (0.6, 0.75, 0.9, 1.0) for s in (0.4, 0.7, 1.0) for f in (0.05, 0.2)]
-    return [Rule(**(vars(x) | {"exclusive": e})) for x in rules for e in (False, True)]
-
-
-def offline_rules() -> list[Rule]:
-    """The grid that is searched on score dumps, without exclusive forms."""
-    rules = [Rule("thresh", thr=t, top_n=n) for t in (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85) for n in (None, 4, 5, 6, 8)]
-    highs, lows = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8), (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4)
-    rules += [Rule("fallback", thr=hi, lo=lo, top_n=n) for hi in highs for lo in lows for n in (None, 5, 6, 8)]
-    return rules + [Rule("expf", r=r, s=s, floor=f) for r in (0.55, 0.65, 0.75, 0.85, 1.0) for s in (0.2, 0.4, 0.6, 0.8, 1.0) for f in (0.05, 0.1, 0.2)]
+# The grids of rules that are searched, on the validation entities of either generation and off line on score dumps.
+GRIDS = {
+    "channels": {
+        "thresh": {"thr": (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), "top_n": (None, 4, 6, 8)},
+        "expf": {"r": (0.6, 0.75, 0.9, 1.0), "s": (0.4, 0.7, 1.0), "floor": (0.05, 0.2)},
+    },
+    "keys": {
+        "thresh": {
+            "thr": (*(k / 100 for k in range(10, 80, 5)), *(k / 100 for k in range(80, 99)), 0.99, 0.995),
+            "top_n": (None, 2, 3, 4, 5, 6, 8, 10, 12, 20),
+        },
+    },
+    "offline": {
+        "thresh": {"thr": (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85), "top_n": (None, 4, 5, 6, 8)},
+        "fallback": {"thr": (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8), "lo": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4), "top_n": (None, 5, 6, 8)},
+        "expf": {"r": (0.55, 0.65, 0.75, 0.85, 1.0), "s": (0.2, 0.4, 0.6, 0.8, 1.0), "floor": (0.05, 0.1, 0.2)},
+    },
+}
+
+
+def rules_of(name: str, exclusive: tuple[bool, ...] = (False,)) -> list[Rule]:
+    """All rules of a grid, each without or with one owner a target, or both."""
+    kinds = GRIDS[name].items()
+    return [Rule(kind, **dict(zip(values, chosen, strict=True)), exclusive=e) for kind, values in kinds for chosen in product(*values.values()) for e in exclusive]

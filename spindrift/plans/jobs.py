@@ -131,7 +131,7 @@ def train(store: Store, truth: DataFrame, models: str, n_val: int, n_fit: int, m
     first, second = model.two_stages(fit, features.PAIR_FEATURES, extra, **kw)
     best, report = None, {}
     for stages, name in (((first, None), "stage1"), ((first, second), "stage2")):
-        top = decide.grid(model.score_pairs(stages, val, extra), own, ids, rules or decide.usual_rules()).first()
+        top = decide.grid(model.score_pairs(stages, val, extra), own, ids, rules or decide.rules_of("channels", (False, True))).first()
         report[f"{name}_f05"] = top["f05"]
         if best is None or top["f05"] > best[0]["f05"]:
             best = (top, stages)
@@ -140,17 +140,11 @@ def train(store: Store, truth: DataFrame, models: str, n_val: int, n_fit: int, m
     return _save(store, models, {"stage1": first, "stage2": best[1][1]}, report)
 
 
-def key_thresholds() -> list[Rule]:
-    """The grid of thresholds and list lengths that the first generation searches."""
-    thresholds = [k / 100 for k in range(10, 80, 5)] + [k / 100 for k in range(80, 99)] + [0.99, 0.995]
-    return [Rule("thresh", thr=t, top_n=n) for t in thresholds for n in (None, 2, 3, 4, 5, 6, 8, 10, 12, 20)]
-
-
 def train_keys(store: Store, truth: DataFrame, models: str, n_val: int, n_fit: int, k: int = 25, rules: list[Rule] | None = None, **kw) -> dict:
     """The first generation: one model over the key candidates' features, its rule chosen on the validation entities."""
     fit, val, ids, own = _parts(store, key_rows(store, k), truth, n_val, n_fit)
     made = model.train(fit, features.KEY_FEATURES, **kw)
-    top = decide.grid(model.score_pairs((made, None), val), own, ids, rules or key_thresholds()).first()
+    top = decide.grid(model.score_pairs((made, None), val), own, ids, rules or decide.rules_of("keys")).first()
     found = val.agg(F.sum("label").alias("n")).first()["n"] or 0.0
     report = {"best": top.asDict(), "features": features.KEY_FEATURES, "top_k": k, "two_stage": False, "recall_ceiling": found / max(1, own.distinct().count())}
     return _save(store, models, {"stage1": made}, report | {"importance": model.importance(made, features.KEY_FEATURES)})
@@ -247,7 +241,7 @@ def merge(store: Store, out: str, strict: bool = True) -> dict[str, DataFrame]:
 
 def tune(scores: DataFrame, truth: DataFrame, ids: DataFrame) -> DataFrame:
     """Every rule of the off-line grid on a score dump, best first; exclusive ones keep each target for its best record before deciding."""
-    rules = decide.offline_rules()
+    rules = decide.rules_of("offline")
     before = decide.grid(decide.one_owner(scores), truth, ids, rules).withColumn("config", F.replace("config", F.lit("exclusive=False"), F.lit("exclusive=True")))
     return decide.grid(scores, truth, ids, rules).unionByName(before).orderBy(F.col("f05").desc(), "config")
 
