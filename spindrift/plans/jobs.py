@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
@@ -18,6 +17,7 @@ from spindrift.functions import text as X
 from spindrift.operators import blocking, channels, decide, features, keys, metrics, model, validate
 from spindrift.operators.decide import Rule
 from spindrift.sources import sinks, tables
+from spindrift.sources.scratch import materialize
 
 SCORE_FLOOR = {"keys": 0.05, "channels": 0.02}
 #: Stable buckets below this are held out.
@@ -86,15 +86,16 @@ def part_of_universe(store: Store, countries: list[str] | None = None, shard: in
     return ids.where(F.pmod(F.xxhash64("s1_id"), F.lit(shards)) == shard) if shards > 1 else ids
 
 
-def key_candidates(store: Store, k: int = 25, percent: int = 100, ids: DataFrame | None = None, name: str = "candidates") -> DataFrame:
-    """The k best candidates by keys of all records of source 1, or of ids."""
+def key_candidates(store: Store, k: int = 25, percent: int = 100, ids: DataFrame | None = None) -> DataFrame:
+    """The k best candidates by keys of all records of source 1, kept in the store, or of ids."""
     probe = store.table("probe") if ids is None else store.table("probe").join(ids.select("s1_id"), "s1_id", "left_semi")
-    return store.step(name, lambda: blocking.escalated(probe, store.table("keys"), universe(store) if ids is None else ids, k, percent=percent))
+    make = lambda: blocking.escalated(probe, store.table("keys"), universe(store) if ids is None else ids, k, percent=percent)
+    return store.step(f"candidates_{k}", make) if ids is None else materialize(make())
 
 
 def channel_pairs(store: Store, max_df: float = 0.02, with_keys: bool = False) -> DataFrame:
     """The union of the channels; with the key candidates as a fifth one if wanted."""
-    c1 = key_candidates(store, 100, name="candidates_100") if with_keys else None
+    c1 = key_candidates(store, 100) if with_keys else None
     return store.step("union", lambda: channels.union(channels.channels(store.table("forms"), max_df), c1))
 
 
@@ -102,10 +103,10 @@ def pair_rows(store: Store, max_df: float = 0.02, with_keys: bool = False) -> Da
     return store.step("features", lambda: features.pair_features(channel_pairs(store, max_df, with_keys), store.table("forms")))
 
 
-def key_rows(store: Store, k: int = 25, ids: DataFrame | None = None, name: str = "key_features") -> DataFrame:
-    """(q, t) and the first generation's features of all key candidates, or of those of ids."""
-    found = key_candidates(store, k, ids=ids, name="candidates" if ids is None else f"{name}_candidates")
-    return store.step(name, lambda: features.key_features(found, store.table("tokens")).withColumnsRenamed({"s1_id": "q", "cand_id": "t"}))
+def key_rows(store: Store, k: int = 25, ids: DataFrame | None = None) -> DataFrame:
+    """(q, t) and the first generation's features of all key candidates, kept in the store, or of those of ids."""
+    make = lambda: features.key_features(key_candidates(store, k, ids=ids), store.table("tokens")).withColumnsRenamed({"s1_id": "q", "cand_id": "t"})
+    return store.step(f"key_features_{k}", make) if ids is None else materialize(make())
 
 
 def _save(store: Store, models: str, stages: dict[str, PipelineModel | None], report: dict) -> dict:
@@ -204,8 +205,8 @@ def predict_keys(store: Store, models: str, out: str, rule: Rule | None = None,
     stages, report = load_models(store.spark, models)
     ids, k = part_of_universe(store, **part), top_k or report["top_k"]
     whole = not part and k == report["top_k"]
-    rows = key_rows(store, k) if whole else key_rows(store, k, ids, f"key_features_{uuid.uuid4().hex}")
-    scored = store.step("key_scores" if whole else f"key_scores_{uuid.uuid4().hex}", lambda: model.score_pairs(stages, rows))
+    make = lambda: model.score_pairs(stages, key_rows(store, k, None if whole else ids))
+    scored = store.step("key_scores", make) if whole else materialize(make())
     return write_results(out, scored, rule or Rule.parse_repr(report["best"]["config"]), ids, SCORE_FLOOR["keys"], force)
 
 
@@ -215,7 +216,7 @@ def evaluate(store: Store, truth: DataFrame, rule: Rule) -> DataFrame:
 
 def recall_check(store: Store, truth: DataFrame, k: int = 25) -> DataFrame:
     """The blocking report, with the records a second that making the candidates took if they weren't there yet."""
-    began, made = time.perf_counter(), not store.done("candidates")
+    began, made = time.perf_counter(), not store.done(f"candidates_{k}")
     found = key_candidates(store, k)
     found.count()
     return metrics.blocking_report(universe(store), truth, found, time.perf_counter() - began if made else None)
