@@ -13,7 +13,7 @@ from spindrift.operators import blocking, channels, context, decide, features, k
 from spindrift.operators.decide import Rule
 from spindrift.operators.model import formula
 from spindrift.sources import sinks, tables
-from spindrift.sources.scratch import materialize
+from spindrift.sources.scratch import materialize, scratch_path
 
 WEIGHTS = {"blocking_score": 0.15, "name_jaccard": 2.0, "addr_jaccard": 2.0, "name_exact": 3.0, "phon_exact": 1.0}
 OFFSET = -4.0
@@ -370,6 +370,35 @@ def score_dump(r: Run) -> DataFrame:
     return sinks.printed(r.scores, 0.05)
 
 
+@query
+def records_from_files(r: Run) -> DataFrame:
+    """Records by way of a source file each."""
+    at = scratch_path(r.spark)
+    for source in (1, 2, 3):
+        sinks.write_records(r.records.where(F.col("source") == source), f"{at}/{source}")
+    read = tables.read_records(r.spark, {source: f"{at}/{source}" for source in (1, 2, 3)}, lines=True)
+    return tables.latest(read, "line").select(F.col("source").cast("int").alias("source"), "entity_id", "business_name", "business_address", "country")
+
+
+@query
+def pairs_from_files(r: Run) -> DataFrame:
+    """Candidate pairs by way of a file of lists, for the records that a file of ids names."""
+    at = scratch_path(r.spark)
+    sinks.write_id_lists(sinks.id_lists(r.stored_candidates, r.universe), f"{at}/lists", ("source1_entity_id", "candidate_entity_ids"))
+    sinks.write_entities(r.universe.where(X.bucket(F.col("s1_id")) < 70), f"{at}/ids")
+    return tables.only(tables.exploded(tables.read_id_lists(r.spark, f"{at}/lists")), tables.required_ids(r.spark, f"{at}/ids"), "s1_id")
+
+
+@query
+def scores_from_files(r: Run) -> DataFrame:
+    """Scores by way of a dump, and whether each record is in a universe scanned from a file of lists."""
+    at = scratch_path(r.spark)
+    sinks.write_scores(r.scores, f"{at}/scores", 0.05)
+    sinks.write_id_lists(sinks.id_lists(r.chosen(THRESH).withColumn("rank", -F.col("prob")), r.universe.where(X.bucket(F.col("s1_id")) < 70)), f"{at}/lists", ("source1_entity_id", "matched_entity_ids"))
+    known = tables.read_universe(r.spark, f"{at}/lists").withColumn("known", F.lit(True))
+    return tables.read_scores(r.spark, f"{at}/scores").join(known, "s1_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 @query
 def validate_rules(r: Run) -> DataFrame:
     b = X.bucket(F.col("s1_id"))

@@ -277,19 +277,21 @@ def _worded(pairs: str, q: str, t: str) -> str:
     return f"worded AS (SELECT c.{q} AS q, c.{t} AS t, {_WORDS('a', 'name')} AS qw_name, {_WORDS('b', 'name')} AS tw_name, {_WORDS('a', 'addr')} AS qw_addr, {_WORDS('b', 'addr')} AS tw_addr FROM {pairs} c JOIN forms a ON a.entity_id = c.{q} JOIN forms b ON b.entity_id = c.{t} JOIN known kn ON kn.country = a.country)"
 
 
-_WORDED = ", ".join(f"round({jaccard(*_W(f))}, 6) AS {f}_word_jac, round({overlap(*_W(f))}, 6) AS {f}_word_ovl, len(list_intersect({', '.join(_W(f))}))::DOUBLE AS n_{f}_words" for f in ("name", "addr"))
+_WORDED = ", ".join(f"{jaccard(*_W(f))} AS {f}_word_jac, {overlap(*_W(f))} AS {f}_word_ovl, len(list_intersect({', '.join(_W(f))}))::DOUBLE AS n_{f}_words" for f in ("name", "addr"))
+_WORD_FEATURES = "name_word_jac name_word_ovl n_name_words addr_word_jac addr_word_ovl n_addr_words"
+_PAIR_FEATURES = f"r_name r_name_tsort r_name_tset r_name_part r_phon r_addr r_addr_tset {_WORD_FEATURES} len_ratio cand_source name_exact sorted_exact phon_exact house_match postal_match s1_addr_empty cand_addr_empty c2_cos c2_rank c2b_cos c2b_rank c3_cos c3_rank c4_keys c1_score c1_rank n_channels"
 _NAMES, _ADDRS = ("a.name_norm", "b.name_norm"), ("a.addr_norm", "b.addr_norm")
 _KEY_FUZZY = f"""round({ratio(*_NAMES)} / 100, 6) AS name_ratio, round({token_sort(*_NAMES)} / 100, 6) AS name_token_sort, round({token_set(*_NAMES)} / 100, 6) AS name_token_set,
   round({partial(*_NAMES)} / 100, 6) AS name_partial, CASE WHEN a.addr_norm = '' AND b.addr_norm = '' THEN 0.0 ELSE round({ratio(*_ADDRS)} / 100, 6) END AS addr_ratio"""
 _FUZZY = f"fuzzy AS (SELECT c.s1_id, c.cand_id, {_KEY_FUZZY} FROM candidates c JOIN normal a ON a.entity_id = c.s1_id JOIN normal b ON b.entity_id = c.cand_id)"
 _PAIRS = (
     _KNOWN, _worded("joined", "q", "t"), f"words AS (SELECT q, t, {_WORDED} FROM worded)",
-    f"""pairs AS (SELECT j.q, j.t, round({ratio('a.name', 'b.name')}, 6) AS r_name, round({token_sort('a.name', 'b.name')}, 6) AS r_name_tsort, round({token_set('a.name', 'b.name')}, 6) AS r_name_tset, round({partial('a.name', 'b.name')}, 6) AS r_name_part,
-  round({token_set('a.phon', 'b.phon')}, 6) AS r_phon, round({ratio('a.addr', 'b.addr')}, 6) AS r_addr, round({token_set('a.addr', 'b.addr')}, 6) AS r_addr_tset,
-  w.* EXCLUDE (q, t), round(CASE WHEN greatest(length(a.name), length(b.name)) > 0 THEN least(length(a.name), length(b.name)) / greatest(length(a.name), length(b.name)) ELSE 0.0 END, 6) AS len_ratio, b.source::DOUBLE AS cand_source,
+    f"""pairs AS (SELECT j.q, j.t, {ratio('a.name', 'b.name')} AS r_name, {token_sort('a.name', 'b.name')} AS r_name_tsort, {token_set('a.name', 'b.name')} AS r_name_tset, {partial('a.name', 'b.name')} AS r_name_part,
+  {token_set('a.phon', 'b.phon')} AS r_phon, {ratio('a.addr', 'b.addr')} AS r_addr, {token_set('a.addr', 'b.addr')} AS r_addr_tset,
+  w.* EXCLUDE (q, t), CASE WHEN greatest(length(a.name), length(b.name)) > 0 THEN least(length(a.name), length(b.name)) / greatest(length(a.name), length(b.name)) ELSE 0.0 END AS len_ratio, b.source::DOUBLE AS cand_source,
   (a.name <> '' AND a.name = b.name)::INT::DOUBLE AS name_exact, (a.sorted <> '' AND a.sorted = b.sorted)::INT::DOUBLE AS sorted_exact, (a.phonc <> '' AND a.phonc = b.phonc)::INT::DOUBLE AS phon_exact,
   (len(list_intersect(a.house, b.house)) > 0)::INT::DOUBLE AS house_match, (len(list_intersect(a.postal, b.postal)) > 0)::INT::DOUBLE AS postal_match, (a.addr = '')::INT::DOUBLE AS s1_addr_empty, (b.addr = '')::INT::DOUBLE AS cand_addr_empty,
-  {_round('c2_cos c2_rank c2b_cos c2b_rank c3_cos c3_rank')}, j.c4 AS c4_keys, c1_score, c1_rank, n_channels
+  c2_cos, c2_rank, c2b_cos, c2b_rank, c3_cos, c3_rank, j.c4 AS c4_keys, c1_score, c1_rank, n_channels
   FROM joined j JOIN forms a ON a.entity_id = j.q JOIN forms b ON b.entity_id = j.t JOIN words w ON w.q = j.q AND w.t = j.t)""",
 )
 _LINE = f"s1_id || CASE WHEN {_B} = 1 THEN ' ' ELSE chr(9) END || CASE {_B} WHEN 3 THEN 'S9-x,' WHEN 4 THEN 'S1-00000003,' WHEN 6 THEN 'S2-1,S2-1,' ELSE '' END || ids"
@@ -327,6 +329,9 @@ FROM (SELECT coalesce(o.ids, []) AS a, coalesce(n.ids, []) AS b FROM conflicted
   QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) = 1)""",
     ),
     "hybrid_report": _sql(f"SELECT country, CASE WHEN {_B} < 40 THEN 'new' WHEN {_B} >= 50 THEN 'old' ELSE 'missing' END AS origin, count(*) AS n FROM universe GROUP BY ALL"),
+    "records_from_files": _sql("SELECT source::INT AS source, entity_id, business_name, business_address, country FROM rec"),
+    "pairs_from_files": _sql(f"SELECT s1_id, cand_id FROM candidates WHERE {_B} < 70"),
+    "scores_from_files": _sql(f"SELECT s1_id, cand_id, prob, {_B} < 70 AS known FROM scores WHERE prob >= 0.05"),
     "score_dump": _sql("SELECT s1_id, cand_id, printf('%.5f', prob) AS prob FROM scores WHERE prob >= 0.05"),
     "blocking_keys": _sql("SELECT source::INT AS source, entity_id, country, key_type, key_value FROM keys"),
     "key_freq": _sql("SELECT * FROM freq"),
@@ -341,16 +346,16 @@ FROM (SELECT coalesce(o.ids, []) AS a, coalesce(n.ids, []) AS b FROM conflicted
     "tfidf_addr_topk": _sql("SELECT * FROM c3"),
     "channel_union": _sql("SELECT * FROM joined"),
     "token_features": _sql(f"SELECT s1_id, cand_id, {_round(_TOKEN_FEATURES)} FROM feats"),
-    "word_features": _sql(f"SELECT q, t, {_WORDED} FROM worded", _KNOWN, _worded("candidates", "s1_id", "cand_id")),
+    "word_features": _sql(f"SELECT q, t, {_round(_WORD_FEATURES)} FROM (SELECT q, t, {_WORDED} FROM worded)", _KNOWN, _worded("candidates", "s1_id", "cand_id")),
     "fuzzy_features": _sql("SELECT * FROM fuzzy", _FUZZY),
     "key_features": _sql(f"SELECT s1_id, cand_id, {_round(_TOKEN_FEATURES)}, {', '.join(f'u.{x}' for x in _FUZZY_NAMES)} FROM feats JOIN fuzzy u USING (s1_id, cand_id)", _FUZZY),
-    "pair_features": _sql("SELECT * FROM pairs", *_PAIRS),
+    "pair_features": _sql(f"SELECT q, t, {_round(_PAIR_FEATURES)} FROM pairs", *_PAIRS),
     "context_base": _sql(
         """SELECT s1_id AS q, cand_id AS t, round(prob, 6) AS p1, rank::INT AS p1_rank, round(CASE WHEN top > 0 THEN prob / top ELSE 0.0 END, 6) AS p1_ratio, round(CASE WHEN rank = 1 THEN prob - coalesce(second, 0) ELSE prob - top END, 6) AS p1_gap, n AS n_cands, likely::BIGINT AS n_likely, round(total, 6) AS p1_sum
 FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS rank, max(prob) OVER e AS top, nth_value(prob, 2) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, count(*) OVER e AS n, sum((prob > 0.5)::INT) OVER e AS likely, sum(prob) OVER e AS total FROM scores WINDOW e AS (PARTITION BY s1_id))"""
     ),
     "context_extra": _sql(
-        """SELECT q, t, round(p1, 6) AS p1, cand_source, r_addr_tset, r_name_tset, addr_word_ovl, r_phon, row_number() OVER (PARTITION BY q, cand_source ORDER BY p1 DESC, t)::INT AS src_rank,
+        """SELECT q, t, round(p1, 6) AS p1, cand_source, round(r_addr_tset, 6) AS r_addr_tset, round(r_name_tset, 6) AS r_name_tset, round(addr_word_ovl, 6) AS addr_word_ovl, round(r_phon, 6) AS r_phon, row_number() OVER (PARTITION BY q, cand_source ORDER BY p1 DESC, t)::INT AS src_rank,
 sum((p1 >= top - 0.1)::INT) OVER (PARTITION BY q)::BIGINT AS amb_count, round(max(r_addr_tset) OVER (PARTITION BY q) - r_addr_tset, 6) AS addr_tset_gap, row_number() OVER (PARTITION BY q ORDER BY r_addr_tset DESC, t)::INT AS addr_tset_rank,
 round(max(r_name_tset) OVER (PARTITION BY q) - r_name_tset, 6) AS name_tset_gap, row_number() OVER (PARTITION BY q ORDER BY r_name_tset DESC, t)::INT AS name_tset_rank,
 round(max(addr_word_ovl) OVER (PARTITION BY q) - addr_word_ovl, 6) AS addr_ovl_gap, round(max(r_phon) OVER (PARTITION BY q) - r_phon, 6) AS phon_gap
