@@ -2,11 +2,11 @@
 
 Texts whose sets of five-word shingles have a similarity of 4/5 or more are linked. SimHash fingerprints of these shingles
 and their vantage-point trees (`simhash`) gather texts within a few bits; as 4/5 is up to 14 bits, a radius at which
-no vantage point tells anything apart, MinHash bands gather the rest. Both only gather what may be linked (a pair of exactly 4/5 shares none of the 32 bands of 5 with a chance of 3 in a million, a closer one less). In each band's
-bucket the least member is a vantage point: all others are compared with it by their signatures, a byte for each of
-the 160 least hashes, and those that agree in LIKE bytes are of one family (at 4/5 they agree in 128 on average; in fewer
-than LIKE with a chance of one in 10 thousand million). The rest of a bucket, with those whose distance from the vantage point
-doesn't rule a link to them out, is searched among itself.
+no vantage point tells anything apart, MinHash bands gather the rest (a pair of exactly 4/5 shares none of the 32 bands of 5
+with a chance of 3 in a million, a closer one less). In each band's bucket the least member is a vantage point: all others
+are compared with it by their signatures, a byte for each of the 160 least hashes, and those that agree in LIKE bytes are of
+one family (at 4/5 they agree in 128 on average; in fewer than LIKE with a chance of one in 10 thousand million). The rest
+of a bucket, with those whose distance from the vantage point doesn't rule a link to them out, is searched among itself.
 
 Every link is then decided by exact counts of whole sets. Again the least member of a family is its vantage point, and the others are
 compared with it, in a plain join whose hot families Spark can split. Jaccard's distance obeys the triangle inequality, so
@@ -41,7 +41,7 @@ SLICE = 1 << 10
 #: Bytes of signatures that must agree for two texts to be of one family.
 LIKE = 96
 SLACK = 1e-9
-#: The table of texts in families, 24 bytes a row, goes to the texts by broadcast only up to so many; beyond, texts are shuffled to it.
+#: The table of texts in families, 24 bytes a row, goes to the texts by broadcast up to so many only; beyond, texts are shuffled to it.
 BROADCAST_ROWS = 2_000_000
 
 _draw = np.random.default_rng(SEED)

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
