@@ -21,10 +21,6 @@ def _tokens(x: Column) -> Column:
     return F.filter(F.split(x, " "), lambda t: t != "")
 
 
-def _among(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def fold(x: Column) -> Column:
     """Latin letters without accents; other characters stay."""
     x = F.translate(F.coalesce(x, F.lit("")), W.LATIN_FROM, W.LATIN_TO)
