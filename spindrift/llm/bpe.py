@@ -24,6 +24,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from spindrift.llm.common import slices
+
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 CACHE = 400_000
@@ -105,7 +107,7 @@ def _over_text(df: DataFrame, column: str, fields: list[tuple[str, T.DataType, p
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = list(zip(*map(make, batch.column(at).to_pylist()), strict=True)) or [[] for _ in fields]
             arrays = [pa.array(values, kind) for values, (_, _, kind) in zip(made, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *[f[0] for f in fields]])

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from spindrift.llm.common import slices
 
 CACHE = 500_000
 LONG = 64
@@ -110,7 +111,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             counts: list[int] = []
             for group in balanced(texts, 1 << 20):
