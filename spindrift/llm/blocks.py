@@ -14,6 +14,8 @@ file scan, which a lost task repeats.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import math
 import uuid
 
@@ -70,6 +72,31 @@ def into_blocks(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int
     return stored, parts
 
 
+def lean(work):
+    """work, a function of one table or of two, after which freed memory goes back to the system: a Python worker that waits
+    for its next task then holds little, however much the last one took."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            trim()
+
+    def two(table: pa.Table, heard: pa.Table) -> pa.Table:
+        try:
+            return work(table, heard)
+        finally:
+            trim()
+
+    return one if len(inspect.signature(work).parameters) == 1 else two
+
+
 def planes(values: np.ndarray, width: int) -> bytes:
     """The low bytes of unsigned values, byte by byte over all values: sorted or small ones then compress."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()

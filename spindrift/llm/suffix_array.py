@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spindrift.llm.blocks import ANSWER, SENT, Rolling, answer, answered, into_blocks, met_elsewhere, mix64, pack, part_of, send_keys, sent, sizes_by_part, sliding_least, unpack
+from spindrift.llm.blocks import ANSWER, SENT, Rolling, answer, answered, into_blocks, lean, met_elsewhere, mix64, pack, part_of, send_keys, sent, sizes_by_part, sliding_least, unpack
 from spindrift.llm.common import discard, materialize
 
 LENGTH = 400
@@ -356,10 +356,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             }
         )
 
-    first = materialize(slim.groupBy("block").applyInArrow(tuples, SENT).groupBy("part").applyInArrow(met_elsewhere(1, NAME_WIDTH), ANSWER))
-    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(suffixes, SENT)
-    second = materialize(second.groupBy("part").applyInArrow(met_elsewhere(2, NAME_WIDTH), ANSWER))
-    third = slim.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(passages, SENT)
-    third = materialize(third.groupBy("part").applyInArrow(_judge(length), ANSWER))
+    first = materialize(slim.groupBy("block").applyInArrow(lean(tuples), SENT).groupBy("part").applyInArrow(lean(met_elsewhere(1, NAME_WIDTH)), ANSWER))
+    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lean(suffixes), SENT)
+    second = materialize(second.groupBy("part").applyInArrow(lean(met_elsewhere(2, NAME_WIDTH)), ANSWER))
+    third = slim.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(lean(passages), SENT)
+    third = materialize(third.groupBy("part").applyInArrow(lean(_judge(length)), ANSWER))
     discard(first, second)
-    return blocks.select("block", "text", "row").groupBy("block").cogroup(third.groupBy("block")).applyInArrow(cut, T.StructType(fields))
+    return blocks.select("block", "text", "row").groupBy("block").cogroup(third.groupBy("block")).applyInArrow(lean(cut), T.StructType(fields))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.blocks import ANSWER, SENT, Rolling, answered, answers, from_planes, into_blocks, met_elsewhere, mix64, pack, planes, send_keys, sent, sizes_by_part, sliding_least, unpack
+from spindrift.llm.blocks import ANSWER, SENT, Rolling, answered, answers, from_planes, into_blocks, lean, met_elsewhere, mix64, pack, planes, send_keys, sent, sizes_by_part, sliding_least, unpack
 from spindrift.llm.common import materialize
 
 WINDOW = 13
@@ -345,10 +345,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             }
         )
 
-    first = materialize(slim.groupBy("block").applyInArrow(anchors, SENT).groupBy("part").applyInArrow(met_elsewhere(1, ANCHOR_WIDTH), ANSWER))
-    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(passages, SENT)
-    second = materialize(second.groupBy("part").applyInArrow(subtrees, ANSWER))
-    return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(cut, T.StructType(fields))
+    first = materialize(slim.groupBy("block").applyInArrow(lean(anchors), SENT).groupBy("part").applyInArrow(lean(met_elsewhere(1, ANCHOR_WIDTH)), ANSWER))
+    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lean(passages), SENT)
+    second = materialize(second.groupBy("part").applyInArrow(lean(subtrees), ANSWER))
+    return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(lean(cut), T.StructType(fields))
 
 
 def _sample(docs: DataFrame, id_col: str, text: str, window: int, gram: int) -> np.ndarray:
