@@ -12,3 +12,8 @@ def _plan(df) -> str:
 def test_union_reads_its_channels(spark):
     plan = _plan(linkage.QUERIES["channel_union"](spark, SF))
     assert not any(x in plan for x in ("FlatMap", "MapInArrow", "Window", "Join", "Generate"))
+
+
+def test_union_with_keys_reads_its_candidates(spark):
+    plan = _plan(linkage.QUERIES["channel_union_keys"](spark, SF))
+    assert not any(x in plan for x in ("FlatMap", "MapInArrow", "Window", "Join", "Generate"))
