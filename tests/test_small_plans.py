@@ -1,5 +1,6 @@
 """The union of the channels reads them from scratch tables: no plan holds several of them, which took the driver its memory and kept all shuffles at once."""
 
+from spindrift.operators import features
 from spindrift.plans import linkage
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +18,12 @@ def test_union_reads_its_channels(spark):
 def test_union_with_keys_reads_its_candidates(spark):
     plan = _plan(linkage.QUERIES["channel_union_keys"](spark, SF))
     assert not any(x in plan for x in ("FlatMap", "MapInArrow", "Window", "Join", "Generate"))
+
+
+def test_pair_features_in_slices(spark, monkeypatch):
+    run = linkage.Run(spark, SF)
+    monkeypatch.setattr(features, "SLICE", 6)
+    made = features.pair_features(run.stored_union, run.stored_forms)
+    pairs = lambda df: sorted(map(tuple, df.select("q", "t").collect()))
+    assert pairs(made) == pairs(run.stored_union) and len(pairs(made)) > 6
+    assert not any(x in _plan(made) for x in ("Join", "ArrowEvalPython"))
