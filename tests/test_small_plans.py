@@ -27,3 +27,8 @@ def test_pair_features_in_slices(spark, monkeypatch):
     pairs = lambda df: sorted(map(tuple, df.select("q", "t").collect()))
     assert pairs(made) == pairs(run.stored_union) and len(pairs(made)) > 6
     assert not any(x in _plan(made) for x in ("Join", "ArrowEvalPython"))
+
+
+def test_context_extra_makes_what_it_needs_only(spark):
+    some = linkage.Run(spark, SF).rivals("cand_source", "r_phon")
+    assert some.columns == ["q", "t", "p1", "cand_source", "r_phon"] and not any(x in _plan(some) for x in ("Join", "ArrowEvalPython"))
