@@ -18,6 +18,9 @@ from spindrift.llm.common import materialize
 #: 240 bytes or more. The residues are a perfect difference set modulo 91.
 PASSAGES = {"length": 240, "v": 91, "cover": (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
 
+#: Documents that near dedup keeps (id and hash, some 70 bytes each) go to the texts by broadcast up to so many; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 250_000
+
 
 def _like(docs: DataFrame, df: DataFrame) -> DataFrame:
     """df, with columns row (all columns of docs but the text) and text, as documents."""
@@ -35,10 +38,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(shingle_links.components(docs))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("content").alias("content"))
     chosen = found.groupBy("root").agg(F.min(rank).alias("one")).select(F.col("one.id").alias("keep_id"), F.col("one.content").alias("keep_content"))
+    chosen = materialize(chosen.distinct())
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     own = docs.withColumn("__content", F.xxhash64("text"))
-    kept = own.join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__content") == F.col("keep_content")), "left_semi")
-    # Rows repeated with the same id and text are one document too.
-    return kept.dropDuplicates(["doc_id", "__content"]).drop("__content")
+    kept = own.join(small, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__content") == F.col("keep_content")), "left_semi")
+    # Rows repeated with the same id and text are one document too. Only their texts are gathered.
+    twice = materialize(kept.groupBy(F.col("doc_id").alias("keep_id"), F.col("__content").alias("keep_content")).count().where("count > 1").drop("count"))
+    if twice.isEmpty():
+        return kept.drop("__content")
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__content") == F.col("keep_content"))
+    one = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__content"])
+    return kept.join(twice, same, "left_anti").unionByName(one).drop("__content")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

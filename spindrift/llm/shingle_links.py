@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from spindrift.llm import simhash
+from spindrift.llm.blocks import lean
 from spindrift.llm.common import materialize
 from spindrift.llm.components import connected_components
 
@@ -192,7 +193,7 @@ def links(sets: DataFrame) -> DataFrame:
     several = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
     rest = rest.join(several, "part", "left_semi")
     rest = rest.join(sets.select("part", "content", "members"), ["part", "content"]).dropDuplicates(["part", "content"])
-    return star.unionByName(rest.groupBy("part").applyInArrow(_forest(lambda column: reach(_sets(column))), "a long, b long"))
+    return star.unionByName(rest.groupBy("part").applyInArrow(lean(_forest(lambda column: reach(_sets(column)))), "a long, b long"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
